@@ -204,18 +204,21 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -
     if not 0 <= threshold <= 3:
         raise ValueError("the two halves cover thresholds of 0 to 3")
     spread = written(distinct.select("fp").mapInArrow(_replicas, "anchor long, home boolean, fp long"), "replicas")
-    # an anchor is worth a comparison if it has something at home and anything else
+    # anchors with more than a block of rows; AQE broadcasts this table only if it turns out small
     sizes = (
         spread.groupBy("anchor")
         .agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count(F.lit(1)).alias("all"))
-        .where("homes > 0 and all > 1")
+        .where((F.col("homes") > block) | (F.col("all") > block))
         .select(
             "anchor",
             F.ceil(F.col("homes") / block).cast("long").alias("hs"),
             F.ceil(F.col("all") / block).cast("long").alias("rs"),
         )
     )
-    met = spread.join(sizes.hint("merge"), "anchor").withColumns(
+    one = F.lit(1).cast("long")
+    met = spread.join(sizes, "anchor", "left").withColumns(
+        {"hs": F.greatest("hs", one), "rs": F.greatest("rs", one)}
+    ).withColumns(
         {"h": F.pmod(F.xxhash64("fp"), F.col("hs")), "r": F.pmod(F.xxhash64("fp"), F.col("rs"))}
     )
     as_replica = F.transform(F.sequence(F.lit(0), F.col("hs") - 1), lambda h: F.struct((h * F.col("rs") + F.col("r")).alias("at"), F.lit(False).alias("home")))
@@ -247,6 +250,7 @@ def near_duplicates(
     least = of_class.groupBy("label").agg(F.min("least").alias("class_least"))
     linked = of_class.join(least.hint("merge"), "label").select("fp", "class_least")
     labelled = distinct.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("class_least", "least").alias("component_id"))
+    labelled = written(labelled, "labelled")
     return prints.join(labelled.hint("merge"), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
