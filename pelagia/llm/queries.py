@@ -8,25 +8,63 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import simhash, tokens
-from pelagia.llm.common import table
+from pelagia.llm import decontaminate, rules, secrets, shards, simhash, tokens, warc
+from pelagia.llm.common import new_path, table
 
 #: Folder of the public tokenizers' files, the same on every executor.
 TOKENIZERS = Path("/opt/tokenizers")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document by the byte-level BPE vocabulary."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"), str(TOKENIZERS / "byte_bpe_50k.json"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on eight shards of near-equal bytes."""
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of every document, fertility by the many-language vocabulary."""
+    return rules.quality(table(spark, sf_dir, "documents"), str(TOKENIZERS / "byte_bpe_multi_50k.tiktoken"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written to the shared folder and read back."""
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)", 1).try_cast("long")
+    return warc.stored(spark, path, with_payload=False).select(
+        page("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        page("refers_to").alias("refers_to"),
+        "error",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op9_simhash)
+    f.__name__: f
+    for f in (
+        op2_decontaminate, op3_token_counts, op5_secrets, op7_shards, op8_quality_rules, op9_simhash, op10_warc
+    )
 }
 
 ORACLES: dict[str, str] = {}
