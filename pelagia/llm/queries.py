@@ -8,13 +8,29 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, rules, secrets, shards, simhash, tokens, warc
-from pelagia.llm.common import new_path, table
+from pelagia.llm import decontaminate, mixing, rules, secrets, shards, simhash, tokens, warc
+from pelagia.llm.common import new_path, table, written
 
 #: Folder of the public tokenizers' files, the same on every executor.
 TOKENIZERS = Path("/opt/tokenizers")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the target weights of mixing.WEIGHTS, as many tokens as there are."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        mixing.domain().alias("domain"),
+        F.coalesce("lang", F.lit("")).alias("lang"),
+        F.coalesce("source", F.lit("")).alias("source"),
+        mixing.words("text").alias("tokens"),
+    )
+    docs = written(docs, "tokens")  # the texts are read once
+    return mixing.mix(
+        docs, [F.col("domain"), F.col("lang"), F.col("source")], F.col("tokens"), mixing.WEIGHTS,
+        max_epochs=mixing.MAX_EPOCHS, seed=mixing.SEED,
+    )
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -63,8 +79,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_decontaminate, op3_token_counts, op5_secrets, op7_shards, op8_quality_rules, op9_simhash, op10_warc
+        op1_mixing, op2_decontaminate, op3_token_counts, op5_secrets, op7_shards, op8_quality_rules, op9_simhash, op10_warc
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
