@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, mixing, rules, secrets, shards, simhash, tokens, warc
+from pelagia.llm import decontaminate, mixing, quality, rules, secrets, shards, simhash, tokens, warc
 from pelagia.llm.common import new_path, table, written
 
 #: Folder of the public tokenizers' files, the same on every executor.
@@ -41,6 +41,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), str(TOKENIZERS / "byte_bpe_50k.json"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-label classifier fitted on, and applied to, all documents."""
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -79,7 +84,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_mixing, op2_decontaminate, op3_token_counts, op5_secrets, op7_shards, op8_quality_rules, op9_simhash, op10_warc
+        op1_mixing, op2_decontaminate, op3_token_counts, op4_quality_classifier, op5_secrets, op7_shards, op8_quality_rules, op9_simhash, op10_warc
     )
 }
 
