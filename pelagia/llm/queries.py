@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, mixing, quality, rules, secrets, shards, simhash, tokens, warc
+from pelagia.llm import decontaminate, html_text, mixing, quality, rules, secrets, shards, simhash, tokens, warc
 from pelagia.llm.common import new_path, table, written
 
 #: Folder of the public tokenizers' files, the same on every executor.
@@ -51,6 +51,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on eight shards of near-equal bytes."""
     return shards.assign(table(spark, sf_dir, "documents"))
@@ -84,7 +89,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_mixing, op2_decontaminate, op3_token_counts, op4_quality_classifier, op5_secrets, op7_shards, op8_quality_rules, op9_simhash, op10_warc
+        op1_mixing, op2_decontaminate, op3_token_counts, op4_quality_classifier, op5_secrets, op6_main_text, op7_shards, op8_quality_rules, op9_simhash, op10_warc
     )
 }
 
