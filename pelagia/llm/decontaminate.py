@@ -341,3 +341,47 @@ def matches(
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def decontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+    shard_words: int = SHARD_WORDS,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that no window of the benchmark occurs in."""
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    where = docs.columns.index(text_col)
+
+    def clean(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [t for batch in held for t in batch.column(where).to_pylist()]
+        hit = np.zeros(len(texts) + 1, bool)
+        for block in blocks:
+            tests = _tests(block, len(blocks) == 1, window)
+            shard = Shard(texts, tests)
+            for at, _ in occurrences(shard.ids, tests):
+                hit[shard.doc[at]] = True
+        at = 0
+        for batch in held:
+            yield batch.filter(pa.array(~hit[at : at + batch.num_rows]))
+            at += batch.num_rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for whole_batch in batches:
+            step = max(1, int(whole_batch.num_rows * shard_words * 6 / max(whole_batch.nbytes, 1)))
+            for at in range(0, whole_batch.num_rows, step):
+                held.append(whole_batch.slice(at, step))
+                size += held[-1].nbytes
+                if size >= 6 * shard_words:
+                    yield from clean(held)
+                    held, size = [], 0
+        if held:
+            yield from clean(held)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -254,3 +254,37 @@ def near_duplicates(
     return prints.join(labelled.hint("merge"), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, less near-duplicates: of each class the row with the smallest id stays.
+
+    Of rows that share that id and fingerprint the least (by its columns) stays. Only ids of dropped rows are
+    joined to the documents; rows whose id repeats, usually none, are settled apart by id and fingerprint.
+    """
+    classes = written(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold), "classes")
+    # null ids count as one repeated id
+    repeated = classes.groupBy(F.col(id_col).alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or again is null").select("again")
+    repeated = written(repeated, "repeated")
+    by_class = classes.withColumn("class", F.col("component_id"))
+    best = by_class.groupBy("class").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fingerprint")).alias("w"))
+    best = written(best.select("class", "w.id", "w.fingerprint"), "best")
+    best_ids = best.where("id is not null").select(F.col("id").alias("best_id"))
+    lost = classes.select(id_col).distinct().join(best_ids, F.col(id_col) == F.col("best_id"), "left_anti").select(F.col(id_col).alias("lost"))
+    out = written(lost.unionByName(repeated.select(F.col("again").alias("lost"))).distinct(), "lost")
+    single = docs.where(F.col(id_col).isNotNull()).join(out.hint("merge"), F.col(id_col).cast("long") == F.col("lost"), "left_anti")
+    if not repeated.limit(1).count():
+        return single
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(where).to_pylist()
+            yield batch.append_column("_print", pa.array([f"{fingerprint(t, shingle):016x}" for t in texts], pa.string()))
+
+    again = docs.join(repeated.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("again")), "left_semi")
+    where = again.columns.index(text_col)
+    again = again.mapInArrow(marked, again.schema.add("_print", "string"))
+    won = best.select(F.col("id").alias("_id"), F.col("fingerprint").alias("_won"))
+    again = again.join(won.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_won")), "left_semi")
+    kept = again.groupBy(F.col(id_col).alias("_id"), "_print").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return single.unionByName(kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
