@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text slices of about this many bytes are handled at once inside a Python worker.
 SLICE_BYTES = 1 << 20
+#: Data goes to Python workers in batches of about this many bytes, where the session doesn't set another size.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -86,6 +88,14 @@ def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]
                 out = rows({n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
 
+    return arrow_map(df, run, schema)
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches of BATCH_BYTES (or one row), however long the rows are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
@@ -113,12 +123,12 @@ def word_table() -> bytes:
     )
 
 
-_WORDS = word_table()
+WORD_BYTES = word_table()
 
 
 def alnum_words(text: str | None) -> list[bytes]:
     """Lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` in UTF-8; none for null."""
-    return text.encode().translate(_WORDS).split() if text else []
+    return text.encode().translate(WORD_BYTES).split() if text else []
 
 
 def space_words(text: str | None) -> list[bytes]:

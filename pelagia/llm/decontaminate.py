@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import _WORDS, alnum_words, pa_schema
+from pelagia.llm.common import WORD_BYTES, alnum_words, arrow_map, pa_schema
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
@@ -72,7 +72,7 @@ def word_ids(text: str | None, vocabulary: dict[bytes, int]) -> tuple[np.ndarray
     """Word numbers of a whole text (0: unknown), translated piece by piece."""
     if not text:
         return np.empty(0, np.int32), 0
-    plain = text.encode().translate(_WORDS)
+    plain = text.encode().translate(WORD_BYTES)
     if len(plain) <= PIECE_BYTES:
         words = plain.split()
         return np.fromiter(map(vocabulary.get, words, repeat(0)), np.int32, len(words)), len(words)
@@ -288,7 +288,7 @@ def contamination(
             out = [ids, n_words, total, [len(x) for x in names], [_sha256(x) for x in names], total > 0]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return arrow_map(docs.select(id_col, text_col), run, schema)
 
 
 def matches(
@@ -340,7 +340,7 @@ def matches(
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return arrow_map(docs.select(id_col, text_col), run, schema)
 
 
 def decontaminated(
@@ -384,4 +384,4 @@ def decontaminated(
         if held:
             yield from clean(held)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

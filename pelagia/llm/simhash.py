@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import map_batches, written
+from pelagia.llm.common import arrow_map, map_batches, written
 from pelagia.llm.components import components
 
 THRESHOLD = 3
@@ -203,7 +203,7 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -
     """(a, b): links between distinct fingerprints (column fp), enough to span each class."""
     if not 0 <= threshold <= 3:
         raise ValueError("the two halves cover thresholds of 0 to 3")
-    spread = written(distinct.select("fp").mapInArrow(_replicas, "anchor long, home boolean, fp long"), "replicas")
+    spread = written(arrow_map(distinct.select("fp"), _replicas, "anchor long, home boolean, fp long"), "replicas")
     # anchors with more than a block of rows; AQE broadcasts this table only if it turns out small
     sizes = (
         spread.groupBy("anchor")
@@ -229,7 +229,7 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -
         .repartition("anchor", "at")
         .sortWithinPartitions("anchor", "at")
     )
-    return dealt.mapInArrow(_compare(threshold), LINKS)
+    return arrow_map(dealt, _compare(threshold), LINKS)
 
 
 def near_duplicates(
@@ -246,7 +246,7 @@ def near_duplicates(
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     classes = components(links(distinct, threshold, block))
     # only fingerprints with a link to another need their class
-    of_class = distinct.join(classes.withColumnRenamed("node", "fp").hint("merge"), "fp").select("fp", "label", "least")
+    of_class = written(distinct.join(classes.withColumnRenamed("node", "fp").hint("merge"), "fp").select("fp", "label", "least"), "of_class")
     least = of_class.groupBy("label").agg(F.min("least").alias("class_least"))
     linked = of_class.join(least.hint("merge"), "label").select("fp", "class_least")
     labelled = distinct.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("class_least", "least").alias("component_id"))
@@ -283,7 +283,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     again = docs.join(repeated.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("again")), "left_semi")
     where = again.columns.index(text_col)
-    again = again.mapInArrow(marked, again.schema.add("_print", "string"))
+    again = arrow_map(again, marked, again.schema.add("_print", "string"))
     won = best.select(F.col("id").alias("_id"), F.col("fingerprint").alias("_won"))
     again = again.join(won.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_won")), "left_semi")
     kept = again.groupBy(F.col(id_col).alias("_id"), "_print").agg(F.min(F.struct(*docs.columns)).alias("_row"))
