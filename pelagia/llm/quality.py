@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import map_batches, written
+from pelagia.llm.common import arrow_map, map_batches, written
 
 #: Buckets of the hashed features.
 BUCKETS = 1 << 14
@@ -57,16 +57,22 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
-        letters = [c for c in text if c.isalpha()]
         core = text.strip(".,;:!?\"'()[]")
-        flags = (
-            SYMBOL * bool(_SYMBOLS.search(word))
-            | BARE * (not any(c.isalnum() for c in text))
-            | SHOUT * (len(letters) > 1 and text.upper() == text and text.lower() != text)
-            | BANG * (text.endswith(("!!", "??", "!?", "?!")))
-            | PLAIN * (bool(core) and core.replace("-", "").replace("'", "").isalpha())
-        )
-        shape = zlib.crc32(b"shape " + _shape(text).encode()) % BUCKETS
+        loud = len(core) > 1 and core.isupper()
+        if core.isalpha():  # most words
+            flags = PLAIN | SHOUT * loud
+            form = text.replace(core, "C" if loud else "w", 1)
+        else:
+            flags = (
+                SYMBOL * bool(_SYMBOLS.search(word))
+                | BARE * (not any(c.isalnum() for c in core))
+                | SHOUT * loud
+                | PLAIN * (bool(core) and core.replace("-", "").replace("'", "").isalpha())
+            )
+            form = _shape(text)
+        if text[-2:] in ("!!", "??", "!?", "?!"):
+            flags |= BANG
+        shape = zlib.crc32(b"shape " + form.encode()) % BUCKETS
         value = len(self) << 40 | shape << 22 | zlib.crc32(core.lower().encode()) % BUCKETS << 8 | flags
         self[word] = value
         return value
@@ -349,4 +355,4 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id"
                 good = [s.n > 0 and scorer.score(s.buckets, s.values) >= threshold for s in seen]
                 yield part.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, kinds)
+    return arrow_map(docs, run, kinds)
