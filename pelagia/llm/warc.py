@@ -27,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import pa_schema, written
+from pelagia.llm.common import arrow_map, pa_schema, written
 
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
 #: Shorter payloads are stored again rather than revisited.
 REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
+BROADCAST_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORDS = (
@@ -162,7 +163,7 @@ def page_records(record_id: str, uri: str | None, payload: bytes, refers_to: str
 # --- operators -----------------------------------------------------------------------------------
 
 
-def with_revisits(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
+def with_revisits(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", least: int = REVISIT_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The pages with _refers_to: of equal payloads of ``least`` bytes and more the row with
     the largest id holds the payload, and the others get its id. Rows that share that id all hold it; rows
     without an id revisit it, or hold their own where no row has an id."""
@@ -175,7 +176,10 @@ def with_revisits(pages: DataFrame, *, id_col: str = "page_id", html_col: str =
         .where("_n > 1")
         .select("_digest", "_first")
     )
-    joined = marked.join(repeated, "_digest", "left")
+    repeated = written(repeated, "repeated")
+    # 28 bytes a row and what a hash table adds; beyond the bound the pages are shuffled by digest
+    small = repeated.count() * 100 <= broadcast_bytes
+    joined = marked.join(F.broadcast(repeated) if small else repeated.hint("merge"), "_digest", "left")
     return joined.withColumn(
         "_refers_to", F.when(F.col("_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first")), F.col("_first"))
     )
@@ -214,46 +218,50 @@ def write_archives(
                     out.append(text[:-1])  # the writer ends each row with the last line feed
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    written_rows = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    written_rows = arrow_map(rows, run, "value binary").select(F.col("value").cast("string").alias("value"))
     written_rows.write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row per stored record (RECORDS) of the archives under ``path``, compressed or not.
+def stored_records(content: bytes) -> Iterator[tuple]:
+    """The values of RECORDS of each record of an archive, compressed or not."""
+    raw = io.BytesIO(content)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
+    bare = lambda x: x.strip("<>") if x is not None else None
+    for fields, block, error in parse(stream):
+        number = fields.get("warc-segment-number")
+        total = fields.get("warc-segment-total-length")
+        yield (
+            bare(fields.get("warc-record-id")), fields.get("warc-type"), fields.get("warc-target-uri"), bare(fields.get("warc-refers-to")),
+            fields.get("warc-payload-digest"), bare(fields.get("warc-segment-origin-id")),
+            int(number) if number else None, int(total) if total else None, block, error,
+        )
 
-    An archive is read as a whole by one task. A record cut short ends its archive, with ``error`` set.
-    """
-    kinds = pa_schema(RECORDS)
-    names = [f.name for f in kinds]
 
-    def rows(content: bytes) -> Iterator[tuple]:
-        raw = io.BytesIO(content)
-        stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
-        bare = lambda x: x.strip("<>") if x is not None else None
-        for fields, block, error in parse(stream):
-            number = fields.get("warc-segment-number")
-            total = fields.get("warc-segment-total-length")
-            yield (
-                bare(fields.get("warc-record-id")), fields.get("warc-type"), fields.get("warc-target-uri"), bare(fields.get("warc-refers-to")),
-                fields.get("warc-payload-digest"), bare(fields.get("warc-segment-origin-id")),
-                int(number) if number else None, int(total) if total else None, block, error,
-            )
+def _read(spark: SparkSession, path: str, schema: str, row) -> DataFrame:
+    """A row per stored record of the archives under ``path``; ``row`` makes it of the values of RECORDS."""
+    kinds = pa_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 held, size = [], 0
-                for row in rows(content.as_py()):
-                    held.append(row)
-                    size += len(row[8]) + 500
+                for found in stored_records(content.as_py()):
+                    held.append(row(found))
+                    size += len(found[8]) + 500
                     if size > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), kinds, strict=True)], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
                         held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), kinds, strict=True)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
 
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    return files.mapInArrow(run, RECORDS)
+    return arrow_map(files, run, schema)
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """RECORDS of the archives under ``path``. An archive is read as a whole by one task. A record cut short ends its
+    archive, with ``error`` set."""
+    return _read(spark, path, RECORDS, lambda found: found)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -299,7 +307,7 @@ def reassemble(records: DataFrame) -> DataFrame:
                 out = [*joined(batch.column(0)[row].as_py(), batch.column(1)[row].as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return alone.unionByName(grouped.mapInArrow(run, RECORDS))
+    return alone.unionByName(arrow_map(grouped, run, RECORDS))
 
 
 PAYLOADS = (
@@ -307,41 +315,63 @@ PAYLOADS = (
 )
 
 
+def payload_of(
+    record_id: str | None, kind: str | None, uri: str | None, refers_to: str | None, said: str | None, block: bytes | None, error: str | None, with_payload: bool
+) -> tuple:
+    """The values of PAYLOADS of a whole record."""
+    payload, size, digest = None, None, None
+    try:
+        if block is None:
+            raise ValueError(error or "no block")
+        payload, headers = http_payload(block)
+        if kind == "revisit":
+            size, payload = int(headers["content-length"]), None
+            digest = base64.b32decode((said or "").removeprefix("sha1:")).hex()
+        else:
+            size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+            if said and said != sha1_base32(payload):
+                error = error or "digest differs"
+    except (ValueError, KeyError) as e:
+        payload, error = None, error or str(e)
+    return record_id, kind, uri, refers_to, payload if with_payload else None, size, digest, error
+
+
 def payloads(whole: DataFrame, with_payload: bool = True) -> DataFrame:
     """Decoded payloads of whole records (PAYLOADS): HTTP framing taken off, the digest (lower-case hex SHA-1)
     checked against the record's. A revisit has no payload of its own: its length and digest are those stored.
     """
     kinds = pa_schema(PAYLOADS)
-    names = [f.name for f in kinds]
-
-    def row(r: dict) -> tuple:
-        said = r["payload_digest"] or ""
-        payload, size, digest, error = None, None, None, r["error"]
-        try:
-            if r["block"] is None:
-                raise ValueError(error or "no block")
-            payload, headers = http_payload(r["block"])
-            if r["type"] == "revisit":
-                size, payload = int(headers["content-length"]), None
-                digest = base64.b32decode(said.removeprefix("sha1:")).hex()
-            else:
-                size, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                if said and said != sha1_base32(payload):
-                    error = error or "digest differs"
-        except (ValueError, KeyError) as e:
-            payload, error = None, error or str(e)
-        return r["record_id"], r["type"], r["uri"], r["refers_to"], payload if with_payload else None, size, digest, error
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = max(1, int(batch.num_rows * (1 << 20) / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):
-                out = [row(r) for r in batch.slice(at, step).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                out = [
+                    payload_of(r["record_id"], r["type"], r["uri"], r["refers_to"], r["payload_digest"], r["block"], r["error"], with_payload)
+                    for r in batch.slice(at, step).to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
 
-    return whole.mapInArrow(run, PAYLOADS)
+    return arrow_map(whole, run, PAYLOADS)
 
 
 def stored(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Read archives back: records, reassembled and decoded. The parsed records are written once."""
-    return payloads(reassemble(written(read_archives(spark, path), "records")), with_payload)
+    """PAYLOADS of the archives under ``path``: records read, segments reassembled, framing decoded.
+
+    Whole records are decoded where they are read; of segments alone the blocks are written for the grouping.
+    """
+    segment = ", segment int, total_length long, origin_id string, block binary, said string"
+
+    def row(found: tuple) -> tuple:
+        record_id, kind, uri, refers_to, said, origin, number, total, block, error = found
+        if number is None and kind != "continuation":
+            return *payload_of(record_id, kind, uri, refers_to, said, block, error, with_payload), None, None, None, None, None
+        return record_id, kind, uri, refers_to, None, None, None, error, number if number is not None else -1, total, origin, block, said
+
+    read = written(_read(spark, path, PAYLOADS + segment, row), "records")
+    names = [c.split()[0] for c in PAYLOADS.split(", ")]
+    parts = read.where("segment is not null").select(
+        "record_id", "type", "uri", "refers_to", F.col("said").alias("payload_digest"), "origin_id",
+        F.when(F.col("segment") >= 0, F.col("segment")).alias("segment"), "total_length", "block", "error",
+    )
+    return read.where("segment is null").select(*names).unionByName(payloads(reassemble(parts), with_payload))
