@@ -32,8 +32,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_LEAVES = 100_000
-#: Rows that the task which orders a leaf's last bucket sees, about, if the leaf has all rows.
-BUCKET = 50_000
 
 
 def share(budget: int, children: Sequence[tuple[str, int, int]]) -> dict[str, int]:
@@ -82,7 +80,6 @@ def mix(
     max_epochs: int = 4,
     seed: int = 7,
     narrow: DataFrame | None = None,
-    bucket: int = BUCKET,
 ) -> DataFrame:
     """The selected rows of ``docs`` with "epochs" (int): how many times each is taken.
 
@@ -104,7 +101,8 @@ def mix(
     ddl = ", ".join(f"{n} string" for n in names)
     plan = spark.createDataFrame(rows, f"{ddl}, full long, rest long")
 
-    digits = max(1, math.ceil(math.log(max(2, sum(r["n"] for r in found) / bucket), 16)))
+    # about as many buckets as rows in one, whatever the corpus
+    digits = max(1, round(math.log(max(2, sum(r["n"] for r in found)), 16) / 2))
     key = lambda c: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full"), F.coalesce(c.cast("string"), F.lit(""))))
     hashed = narrow.join(F.broadcast(plan), names).where("rest > 0").withColumn("part", F.substring(key(F.col("id")), 1, digits))
     sums = hashed.groupBy(*names, "part", "rest").agg(F.sum("tokens").alias("t"))
