@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -96,7 +97,28 @@ def arrow_map(df: DataFrame, run, schema) -> DataFrame:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(key, None) is None:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+#: Caches of a worker that end with the task that filled them.
+TASK_CACHES: list[dict] = []
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers wait for later tasks beside the executor's heap."""
+    for cache in TASK_CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc: nothing to trim
+        pass
 
 
 def pa_schema(ddl: str) -> pa.Schema:

@@ -11,7 +11,7 @@ scorer judges every document.
 
 Per document one pass over its words serves both the labellers and the
 features: each distinct word's kind, shape and hashes are worked out once per
-worker and looked up after that.
+task and looked up after that.
 
 Defined cases: a text without words (or null) is rejected, with score 0; a text
 of under ``MIN_WORDS`` words gets no votes, and the scorer judges it; repeated
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.common import arrow_map, map_batches, written
+from pelagia.llm.common import TASK_CACHES, arrow_map, map_batches, written
 
 #: Buckets of the hashed features.
 BUCKETS = 1 << 14
@@ -38,8 +38,8 @@ BUCKETS = 1 << 14
 SAMPLE = 4000
 MIN_WORDS = 5
 ROUNDS = 120
-#: Distinct words that a worker remembers, about.
-REMEMBERED = 400_000
+#: Distinct words that a task remembers, about.
+REMEMBERED = 100_000
 
 SYMBOL, BARE, SHOUT, BANG, PLAIN = 1, 2, 4, 8, 16
 _SYMBOLS = re.compile(rb"[#*$%&|<>~^=_\\]{2,}")
@@ -79,6 +79,7 @@ class Words(dict):
 
 
 _words = Words()
+TASK_CACHES.append(_words)
 
 
 @dataclass
