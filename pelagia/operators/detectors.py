@@ -72,17 +72,22 @@ def fishing(tracked: DataFrame, settings: S.Settings = S.Settings()) -> DataFram
     return tracks.spaced(found, ["mmsi"], ["ts_ms", "seq"], "ts_ms", F.lit(settings.debounce_ms), strict=True, start_ms=0)
 
 
+def _silent(settings: S.Settings) -> Column:
+    """Whether a moving vessel's gap to its next fix, or to the end of observation, passes its threshold."""
+    until = F.coalesce("next_ts_ms", F.lit(settings.as_of_ms).cast("long"))
+    silent = (until - F.col("ts_ms")) / 1000.0 > rules.silence_threshold_s("speed_kn", settings)
+    if settings.as_of_ms is None:
+        silent = F.col("next_ts_ms").isNull() | silent
+    return (F.col("speed_kn") > settings.dark_min_speed_kn) & silent
+
+
 def silences(tracked: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
     """Fixes of moving vessels after which they are silent beyond their threshold: with silence_s and detect_ms.
 
     A silence is told when it passes the threshold, so that is its length. One row per fix is one row per episode.
     """
     threshold = rules.silence_threshold_s("speed_kn", settings)
-    until = F.coalesce("next_ts_ms", F.lit(settings.as_of_ms).cast("long"))
-    silent = (until - F.col("ts_ms")) / 1000.0 > threshold
-    if settings.as_of_ms is None:
-        silent = F.col("next_ts_ms").isNull() | silent
-    rows = tracked.where((F.col("speed_kn") > settings.dark_min_speed_kn) & silent)
+    rows = tracked.where(_silent(settings))
     return rows.withColumn("silence_s", threshold).withColumn("detect_ms", F.col("ts_ms") + F.ceil(threshold * 1000).cast("long"))
 
 
@@ -115,14 +120,65 @@ def dark_events(tracked: DataFrame, zones: list[Row], patrols: list[Row], settin
     The distance to the zones is worked out for silent fixes only.
     """
     rows = silences(tracked, settings).withColumn("near", spatial.nearest(zones)).where(F.col("near.nm") <= settings.dark_near_nm)
+    return _alerts(rows, **_dark(patrols, settings))
+
+
+def _dark(patrols: list[Row], settings: S.Settings) -> dict[str, Column]:
+    """What a dark event says, from a silent fix with "near", "silence_s" and "detect_ms"."""
     speed, silence = F.col("speed_kn"), F.col("silence_s")
     lat, lon = predicted(speed, silence, F.col("lat"), F.col("lon"), F.col("heading_deg"))
     radius = settings.cone_r0_m + 0.1 * geo.knots_to_mps(speed) * silence
     cone = F.struct(
         F.col("lat"), F.col("lon"), F.col("heading_deg"), F.lit(settings.cone_spread_deg).alias("spread_deg"), rules.round1(radius).alias("radius_m")
     )
-    return _alerts(
-        rows, kind=F.lit(S.DARK), at_ms=F.col("detect_ms"), rank=F.lit(3_000_000), zone_id=F.col("near.id"),
-        detail=_detail(silence_s=rules.round1(silence)), cone=cone,
-        intercepts=patrol_intercepts(patrols, lat, lon, speed, F.col("heading_deg")) if patrols else F.array().cast(S.INTERCEPTS),
+    met = patrol_intercepts(patrols, lat, lon, speed, F.col("heading_deg")) if patrols else F.array().cast(S.INTERCEPTS)
+    return {
+        "kind": F.lit(S.DARK), "at_ms": F.col("detect_ms"), "rank": F.lit(3_000_000), "zone_id": F.col("near.id"),
+        "detail": _detail(silence_s=rules.round1(silence)), "cone": cone, "intercepts": met,
+    }
+
+
+def all_at_once(tracked: DataFrame, zones: list[Row], patrols: list[Row], settings: S.Settings = S.Settings()) -> DataFrame:
+    """ALERTS of every detector in one pass over tracked fixes with "history"; fishing candidates are not spaced yet.
+
+    Rows without a finding are filtered out before anything is built from them.
+    """
+    moved = geo.distance_m(F.col("prev.lat"), F.col("prev.lon"), F.col("lat"), F.col("lon"))
+    dt = F.col("ts_ms") - F.col("prev.ts_ms")
+    known = F.col("prev").isNotNull()
+    bad = F.filter(tracks.entered(), lambda z: rules.zone_violation(z["zone_kind"], z["country_code"], F.col("flag_code")))
+    worth = known & (F.size("history") >= 8) & spatial.illegal_here("zones", "flag_code")
+    threshold = rules.silence_threshold_s("speed_kn", settings)
+    rows = tracked.withColumns(
+        {
+            "bad": F.when(known & (F.size("zones") > 0), bad), "d": moved, "dt": dt,
+            "jump": F.coalesce((F.col("prev.ts_ms") != 0) & rules.spoofed(moved, dt), F.lit(False)),
+            "m": F.when(worth, tracks.track_measures("history")), "near": F.when(_silent(settings), spatial.nearest(zones)),
+            "silence_s": threshold, "detect_ms": F.col("ts_ms") + F.ceil(threshold * 1000).cast("long"),
+        }
     )
+    gear, text = tracks.fishing_pattern("m")
+    rows = rows.withColumns({"gear": gear, "text": text})
+    dark = F.coalesce(F.col("near.nm") <= settings.dark_near_nm, F.lit(False))
+    rows = rows.where((F.size("bad") > 0) | F.col("jump") | F.col("gear").isNotNull() | dark)
+
+    def row(**said: Column) -> Column:
+        own = {"mmsi", "ts_ms", "seq", "lat", "lon"}
+        cols = {n: said[n] if n in said else F.col(n) if n in own else F.lit("") if n == "zone_id" else F.lit(None) for n in ALERTS}
+        return F.struct(*[x.cast(ALERTS[n]).alias(n) for n, x in cols.items()])
+
+    entries = F.transform(
+        "bad", lambda z: row(kind=F.lit(S.ZONE_VIOLATION), at_ms=F.col("ts_ms"), rank=z["zone_idx"], zone_id=z["zone_id"], detail=_detail(zone_kind=z["zone_kind"]))
+    )
+    one = lambda when, **said: F.when(when, F.array(row(**said)))
+    jumps = one(F.col("jump"), kind=F.lit(S.SPOOF), at_ms=F.col("ts_ms"), rank=F.lit(1_000_000), detail=_detail(implied_speed_kn=rules.round1_away(rules.implied_kn("d", "dt"))))
+    gears = one(F.col("gear").isNotNull(), kind=F.col("gear"), at_ms=F.col("ts_ms"), rank=F.lit(2_000_000), detail=_detail(pattern=F.col("text")))
+    darks = one(dark, **_dark(patrols, settings))
+    return rows.select(F.explode(F.flatten(F.array_compact(F.array(entries, jumps, gears, darks)))).alias("a")).select("a.*")
+
+
+def spaced_fishing(found: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
+    """Alerts with the fishing ones at most one per vessel in half an hour."""
+    fishing = F.col("kind").isin(*S.FISHING_KINDS)
+    kept = tracks.spaced(found.where(fishing), ["mmsi"], ["ts_ms", "seq"], "ts_ms", F.lit(settings.debounce_ms), strict=True, start_ms=0)
+    return found.where(~fishing).unionByName(kept)

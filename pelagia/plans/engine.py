@@ -27,6 +27,7 @@ class Engine:
     names: DataFrame | None = None
     weather: DataFrame | None = None
     settings: S.Settings = S.Settings()
+    _found: DataFrame | None = None
 
     def tracked(self, history: bool = True) -> DataFrame:
         """Fixes with their zones, previous fix, next time and ring."""
@@ -34,20 +35,21 @@ class Engine:
         return tracks.with_history(rows, self.settings) if history else rows
 
     def detected(self) -> DataFrame:
-        """ALERTS of all detectors, unscored."""
+        """ALERTS of all detectors, unscored. Found in one pass over the fixes and kept, as scores, sweeps and numbers
+        each read them: alerts are few, and a lost part is computed again."""
         zones = spatial.zone_rows(self.zones, 10_000)
         if not zones:
             raise ValueError("no zones, or more than darkness can be measured against")
         patrols = self.patrols.limit(1_000).collect() if self.patrols is not None else []
-        rows = self.tracked()
-        parts = [
-            detectors.zone_violations(rows), detectors.spoofs(rows), detectors.fishing(rows, self.settings),
-            detectors.dark_events(rows, zones, patrols, self.settings),
-        ]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        if self._found is None:
+            self._found = detectors.all_at_once(self.tracked(), zones, patrols, self.settings).persist()
+        return detectors.spaced_fishing(self._found, self.settings)
+
+    def close(self) -> None:
+        """Drop what ``detected`` keeps."""
+        if self._found is not None:
+            self._found.unpersist()
+            self._found = None
 
     def scored(self, detected: DataFrame | None = None) -> DataFrame:
         """Alerts with score, factors and severity, weather applied."""
