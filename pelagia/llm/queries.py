@@ -93,4 +93,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op1_mixing": mixing.ORACLE}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
+    "op2_decontaminate": f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (
+  SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least({decontaminate.WINDOW}, len(w)) AS k FROM items WHERE len(w) > 0))),
+spots AS (SELECT row, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM (
+  SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs CROSS JOIN (SELECT DISTINCT k FROM wins))),
+found AS (SELECT row, k, i, item FROM spots JOIN wins USING (k, win)),
+hit AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS p FROM found) GROUP BY row),
+named AS (SELECT row, list_sort(list(DISTINCT item)) AS names FROM found WHERE item IS NOT NULL GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, len(coalesce(names, []))::BIGINT AS n_items,
+  sha256(array_to_string(coalesce(names, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (row) LEFT JOIN named USING (row)""",
+    "op10_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p),
+r AS (SELECT *, CASE WHEN strlen(html) >= {warc.REVISIT_BYTES} AND first IS DISTINCT FROM page_id THEN first END AS refers_to FROM f)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to, NULL::VARCHAR AS error FROM r""",
+}

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pelagia.llm.common import arrow_map, map_batches, written
 from pelagia.llm.components import components
@@ -283,7 +284,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     again = docs.join(repeated.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("again")), "left_semi")
     where = again.columns.index(text_col)
-    again = arrow_map(again, marked, again.schema.add("_print", "string"))
+    again = arrow_map(again, marked, StructType([*again.schema.fields, StructField("_print", StringType())]))
     won = best.select(F.col("id").alias("_id"), F.col("fingerprint").alias("_won"))
     again = again.join(won.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_won")), "left_semi")
     kept = again.groupBy(F.col(id_col).alias("_id"), "_print").agg(F.min(F.struct(*docs.columns)).alias("_row"))
