@@ -23,13 +23,13 @@ def _detail(**known: Column) -> Column:
     return F.struct(*[known.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
 
 
-def _alerts(rows: DataFrame, **known: Column) -> DataFrame:
-    """Columns of ALERTS: those given, else the row's own, else null."""
+def _alerts(rows: DataFrame, also: tuple[str, ...] = (), **known: Column) -> DataFrame:
+    """Columns of ALERTS: those given, else the row's own, else null; and the columns of the row named in ``also``."""
     cols = {}
     for name, kind in ALERTS.items():
         x = known[name] if name in known else F.col(name) if name in rows.columns else F.lit("") if name == "zone_id" else F.lit(None)
         cols[name] = x.cast(kind) if name not in ("detail",) else x
-    return rows.select(*[x.alias(n) for n, x in cols.items()])
+    return rows.select(*[x.alias(n) for n, x in cols.items()], *also)
 
 
 def zone_violations(tracked: DataFrame) -> DataFrame:

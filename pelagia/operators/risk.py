@@ -100,18 +100,13 @@ def suspected(events: DataFrame, settings: S.Settings = S.Settings()) -> DataFra
 def last_positions(fixes: DataFrame, at: DataFrame, when: str) -> DataFrame:
     """``at`` (mmsi, when, ...) with the vessel's last fix up to then: lat and lon, 0 if there is none.
 
-    ``at`` are alerts: few beside the fixes, so the join's other side is pruned to their vessels.
+    ``at`` has a row per vessel and time; they are alerts, few beside the fixes, so AQE can broadcast them.
     """
-    keys = at.select("mmsi", when).distinct()
-    found = (
-        fixes.select("mmsi", "lat", "lon", "ts_ms", "seq")
-        .join(keys, "mmsi")
-        .where(F.col("ts_ms") <= F.col(when))
-        .groupBy("mmsi", when)
-        .agg(F.max_by(F.struct("lat", "lon"), F.struct("ts_ms", "seq")).alias("p"))
-    )
-    out = at.join(found, ["mmsi", when], "left")
-    return out.select(*at.columns, F.coalesce("p.lat", F.lit(0.0)).alias("lat"), F.coalesce("p.lon", F.lit(0.0)).alias("lon"))
+    own = [c for c in at.columns if c not in ("mmsi", when)]
+    seen = fixes.select(F.col("mmsi").alias("fix_mmsi"), F.struct("lat", "lon").alias("p"), F.struct("ts_ms", "seq").alias("o"), F.col("ts_ms").alias("fix_ms"))
+    met = at.join(seen, (F.col("mmsi") == F.col("fix_mmsi")) & (F.col("fix_ms") <= F.col(when)), "left")
+    found = met.groupBy("mmsi", when).agg(F.max_by("p", "o").alias("p"), *[F.first(c).alias(c) for c in own])
+    return found.select(*at.columns, F.coalesce("p.lat", F.lit(0.0)).alias("lat"), F.coalesce("p.lon", F.lit(0.0)).alias("lon"))
 
 
 def snapshot(events: DataFrame, now_ms: int, settings: S.Settings = S.Settings()) -> DataFrame:

@@ -60,9 +60,9 @@ class Engine:
     def suspected(self, detected: DataFrame) -> DataFrame:
         rows = risk.last_positions(self.fixes, risk.suspected(detected, self.settings), "sweep_ms")
         return detectors._alerts(
-            rows, kind=F.lit(S.SUSPECTED), at_ms=F.col("sweep_ms"), ts_ms=F.col("sweep_ms"), rank=F.lit(4_000_000), seq=F.lit(0),
+            rows, ("score", "factors"), kind=F.lit(S.SUSPECTED), at_ms=F.col("sweep_ms"), ts_ms=F.col("sweep_ms"), rank=F.lit(4_000_000), seq=F.lit(0),
             detail=detectors._detail(tier=F.col("tier")),
-        ).join(rows.select("mmsi", F.col("sweep_ms").alias("at_ms"), "score", "factors"), ["mmsi", "at_ms"]).withColumn("severity", F.lit("HIGH"))
+        ).withColumn("severity", F.lit("HIGH"))
 
     def alerts(self, detected: DataFrame | None = None) -> DataFrame:
         """All alerts, numbered and named. Pass what ``detected`` gave if it is written somewhere, to run that once."""
