@@ -484,3 +484,57 @@ def region_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = metrics.region_label(z, {S.COUNTRY["DK"]: "Danish waters"})
     anchor = dimensions.region_anchor(z).select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
     return label.crossJoin(anchor).crossJoin(metrics.view_bounds(z).drop("cluster"))
+
+
+@query(
+    f"""WITH {sql.WEATHER} SELECT 'weather' AS type, arg_max(wave_m, updated_ms) AS wave_height_m, max(updated_ms) AS updated_ms,
+  {demo.WEATHER_START_MS + demo.WEATHER_N * demo.WEATHER_STEP_MS} - max(updated_ms) <= 1800000 AS available FROM weather"""
+)
+def weather_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = demo.WEATHER_START_MS + demo.WEATHER_N * demo.WEATHER_STEP_MS
+    return metrics.weather_frame(dimensions.latest_weather(demo.weather(spark)), now)
+
+
+@query(sql.upto("fixes", "SELECT DISTINCT mmsi, 'VESSEL-' || mmsi AS name FROM fixes WHERE mmsi % 3 = 0"))
+def vessel_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demo.names(demo.fixes(spark, sf_dir))
+
+
+@query(sql.upto("fixes", "SELECT mmsi, lat, lon, speed_kn, heading_deg, flag_code, ts_ms FROM fixes QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY ts_ms DESC, seq DESC) = 1"))
+def latest_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state table: each vessel's last fix."""
+    return metrics.latest(demo.fixes(spark, sf_dir))
+
+
+@query(sql.upto("member", "SELECT zone_id, count(*) AS fixes, count(DISTINCT mmsi) AS vessels FROM member GROUP BY ALL"))
+def zone_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spatial.inside(demo.fixes(spark, sf_dir), demo.zones(spark)).select("mmsi", F.explode("zones").alias("z"))
+    return rows.groupBy(F.col("z.zone_id").alias("zone_id")).agg(F.count(F.lit(1)).alias("fixes"), F.count_distinct("mmsi").alias("vessels"))
+
+
+@query(
+    sql.upto("sweeps", """SELECT id, a.mmsi, at_ms, kind, max(name) OVER () AS vessel_name FROM alerts a WHERE a.mmsi = (SELECT mmsi FROM alerts ORDER BY id LIMIT 1)""", _ALL)
+)
+def vessel_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All alerts of the vessel that raised the first one, newest first."""
+    found = _alerts(spark, sf_dir)
+    first = found.orderBy("id").select("mmsi").first()
+    return feed.vessel_alerts(found, first.mmsi if first else -1).select("id", "mmsi", "at_ms", "kind", "vessel_name")
+
+
+@query()
+def alert_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts as the JSON frames that are sent; tested field by field."""
+    return feed.envelope(_alerts(spark, sf_dir))
+
+
+@query()
+def positions_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One GeoJSON frame of vessels; tested field by field."""
+    e = engine(spark, sf_dir)
+    return metrics.positions_frame(metrics.positions(metrics.latest(e.fixes), risk.snapshot(e.detected(), SNAPSHOT_MS, e.settings)))
+
+
+@query()
+def fake_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.fake_frames(spark, 60)
