@@ -248,7 +248,8 @@ def near_duplicates(
     classes = components(links(distinct, threshold, block))
     # only fingerprints with a link to another need their class
     of_class = written(distinct.join(classes.withColumnRenamed("node", "fp").hint("merge"), "fp").select("fp", "label", "least"), "of_class")
-    least = of_class.groupBy("label").agg(F.min("least").alias("class_least"))
+    # both sides are written, so a class with most of the fingerprints is on the side that AQE can split
+    least = written(of_class.groupBy("label").agg(F.min("least").alias("class_least")), "least")
     linked = of_class.join(least.hint("merge"), "label").select("fp", "class_least")
     labelled = distinct.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("class_least", "least").alias("component_id"))
     labelled = written(labelled, "labelled")
