@@ -108,7 +108,7 @@ def normalize_live(decoded: DataFrame) -> DataFrame:
         single(F.when((p["Sog"] >= 0) & (p["Sog"] < 102.3), p["Sog"]).otherwise(0.0)).alias("speed_kn"),
         single(_degrees(heading, F.coalesce(p["Cog"], F.lit(0.0)))).alias("heading_deg"),
         F.col("received_ms").alias("ts_ms"),
-        F.monotonically_increasing_id().alias("seq"),
+        (F.col("received_ms") if decoded.isStreaming else F.monotonically_increasing_id()).alias("seq"),
         F.nullif(F.trim(m["ShipName"]), F.lit("")).alias("name"),
     )
     good = rows.where(F.col("mmsi").isNotNull() & _valid(F.col("lat"), F.col("lon")))
