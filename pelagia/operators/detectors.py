@@ -59,11 +59,18 @@ def fishing_candidates(tracked: DataFrame) -> DataFrame:
     The ring is folded only for rows where presence is a violation and there is enough of a ring.
     """
     worth = F.col("prev").isNotNull() & (F.size("history") >= 8) & spatial.illegal_here("zones", "flag_code")
-    rows = tracked.where(worth).withColumn("m", tracks.track_measures("history"))
-    kind, text = tracks.fishing_pattern("m")
-    return _alerts(
-        rows.withColumns({"k": kind, "t": text}).where("k is not null"), kind=F.col("k"), at_ms=F.col("ts_ms"), rank=F.lit(2_000_000), detail=_detail(pattern=F.col("t"))
-    )
+    rows = tracked.where(worth).withColumn("gear", _gear()).where("gear.kind is not null")
+    return _alerts(rows, kind=F.col("gear.kind"), at_ms=F.col("ts_ms"), rank=F.lit(2_000_000), detail=_detail(pattern=F.col("gear.text")))
+
+
+def _gear() -> Column:
+    """(kind, text) of the ring, as one expression in which the ring is folded once."""
+
+    def told(m: Column) -> Column:
+        kind, text = tracks.fishing_pattern(m)
+        return F.struct(kind.alias("kind"), text.alias("text"))
+
+    return geo.let(tracks.track_measures("history"), told)
 
 
 def fishing(tracked: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
@@ -119,12 +126,13 @@ def dark_events(tracked: DataFrame, zones: list[Row], patrols: list[Row], settin
 
     The distance to the zones is worked out for silent fixes only.
     """
-    rows = silences(tracked, settings).withColumn("near", spatial.nearest(zones)).where(F.col("near.nm") <= settings.dark_near_nm)
-    return _alerts(rows, **_dark(patrols, settings))
+    close = spatial.maybe_near(zones, settings.dark_near_nm)
+    rows = silences(tracked, settings).where(close).withColumn("near", spatial.nearest(zones)).where(F.col("near.nm") <= settings.dark_near_nm)
+    return _alerts(rows, **_dark(patrols, settings, F.col("near")))
 
 
-def _dark(patrols: list[Row], settings: S.Settings) -> dict[str, Column]:
-    """What a dark event says, from a silent fix with "near", "silence_s" and "detect_ms"."""
+def _dark(patrols: list[Row], settings: S.Settings, near: Column) -> dict[str, Column]:
+    """What a dark event says, from a silent fix with "silence_s" and "detect_ms", and the zone near it."""
     speed, silence = F.col("speed_kn"), F.col("silence_s")
     lat, lon = predicted(speed, silence, F.col("lat"), F.col("lon"), F.col("heading_deg"))
     radius = settings.cone_r0_m + 0.1 * geo.knots_to_mps(speed) * silence
@@ -133,7 +141,7 @@ def _dark(patrols: list[Row], settings: S.Settings) -> dict[str, Column]:
     )
     met = patrol_intercepts(patrols, lat, lon, speed, F.col("heading_deg")) if patrols else F.array().cast(S.INTERCEPTS)
     return {
-        "kind": F.lit(S.DARK), "at_ms": F.col("detect_ms"), "rank": F.lit(3_000_000), "zone_id": F.col("near.id"),
+        "kind": F.lit(S.DARK), "at_ms": F.col("detect_ms"), "rank": F.lit(3_000_000), "zone_id": near["id"],
         "detail": _detail(silence_s=rules.round1(silence)), "cone": cone, "intercepts": met,
     }
 
@@ -141,7 +149,8 @@ def _dark(patrols: list[Row], settings: S.Settings) -> dict[str, Column]:
 def all_at_once(tracked: DataFrame, zones: list[Row], patrols: list[Row], settings: S.Settings = S.Settings()) -> DataFrame:
     """ALERTS of every detector in one pass over tracked fixes with "history"; fishing candidates are not spaced yet.
 
-    Rows without a finding are filtered out before anything is built from them.
+    A row's alerts are one array. Rings are folded and zones measured once in it, and only where a look at the row
+    says that they matter.
     """
     moved = geo.distance_m(F.col("prev.lat"), F.col("prev.lon"), F.col("lat"), F.col("lon"))
     dt = F.col("ts_ms") - F.col("prev.ts_ms")
@@ -149,32 +158,29 @@ def all_at_once(tracked: DataFrame, zones: list[Row], patrols: list[Row], settin
     bad = F.filter(tracks.entered(), lambda z: rules.zone_violation(z["zone_kind"], z["country_code"], F.col("flag_code")))
     worth = known & (F.size("history") >= 8) & spatial.illegal_here("zones", "flag_code")
     threshold = rules.silence_threshold_s("speed_kn", settings)
-    rows = tracked.withColumns(
-        {
-            "bad": F.when(known & (F.size("zones") > 0), bad), "d": moved, "dt": dt,
-            "jump": F.coalesce((F.col("prev.ts_ms") != 0) & rules.spoofed(moved, dt), F.lit(False)),
-            "m": F.when(worth, tracks.track_measures("history")), "near": F.when(_silent(settings), spatial.nearest(zones)),
-            "silence_s": threshold, "detect_ms": F.col("ts_ms") + F.ceil(threshold * 1000).cast("long"),
-        }
-    )
-    gear, text = tracks.fishing_pattern("m")
-    rows = rows.withColumns({"gear": gear, "text": text})
-    dark = F.coalesce(F.col("near.nm") <= settings.dark_near_nm, F.lit(False))
-    rows = rows.where((F.size("bad") > 0) | F.col("jump") | F.col("gear").isNotNull() | dark)
+    rows = tracked.withColumns({"d": moved, "dt": dt, "silence_s": threshold, "detect_ms": F.col("ts_ms") + F.ceil(threshold * 1000).cast("long")})
 
     def row(**said: Column) -> Column:
         own = {"mmsi", "ts_ms", "seq", "lat", "lon"}
         cols = {n: said[n] if n in said else F.col(n) if n in own else F.lit("") if n == "zone_id" else F.lit(None) for n in ALERTS}
         return F.struct(*[x.cast(ALERTS[n]).alias(n) for n, x in cols.items()])
 
+    at = F.col("ts_ms")
     entries = F.transform(
-        "bad", lambda z: row(kind=F.lit(S.ZONE_VIOLATION), at_ms=F.col("ts_ms"), rank=z["zone_idx"], zone_id=z["zone_id"], detail=_detail(zone_kind=z["zone_kind"]))
+        F.when(known & (F.size("zones") > 0), bad),
+        lambda z: row(kind=F.lit(S.ZONE_VIOLATION), at_ms=at, rank=z["zone_idx"], zone_id=z["zone_id"], detail=_detail(zone_kind=z["zone_kind"])),
+    )
+    jump = row(kind=F.lit(S.SPOOF), at_ms=at, rank=F.lit(1_000_000), detail=_detail(implied_speed_kn=rules.round1_away(rules.implied_kn("d", "dt"))))
+    jumps = F.when((F.col("prev.ts_ms") != 0) & rules.spoofed("d", "dt"), F.array(jump))
+    gears = F.when(
+        worth,
+        geo.let(_gear(), lambda g: F.when(g["kind"].isNotNull(), F.array(row(kind=g["kind"], at_ms=at, rank=F.lit(2_000_000), detail=_detail(pattern=g["text"]))))),
+    )
+    darks = F.when(
+        _silent(settings) & spatial.maybe_near(zones, settings.dark_near_nm), geo.let(spatial.nearest(zones), lambda n: F.when(n["nm"] <= settings.dark_near_nm, F.array(row(**_dark(patrols, settings, n)))))
     )
-    one = lambda when, **said: F.when(when, F.array(row(**said)))
-    jumps = one(F.col("jump"), kind=F.lit(S.SPOOF), at_ms=F.col("ts_ms"), rank=F.lit(1_000_000), detail=_detail(implied_speed_kn=rules.round1_away(rules.implied_kn("d", "dt"))))
-    gears = one(F.col("gear").isNotNull(), kind=F.col("gear"), at_ms=F.col("ts_ms"), rank=F.lit(2_000_000), detail=_detail(pattern=F.col("text")))
-    darks = one(dark, **_dark(patrols, settings))
-    return rows.select(F.explode(F.flatten(F.array_compact(F.array(entries, jumps, gears, darks)))).alias("a")).select("a.*")
+    found = F.flatten(F.array_compact(F.array(entries, jumps, gears, darks)))
+    return rows.select(F.explode(found).alias("a")).select("a.*")
 
 
 def spaced_fishing(found: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:

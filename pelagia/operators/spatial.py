@@ -137,6 +137,19 @@ def distances_nm(rows: list[Row], lat="lat", lon="lon") -> Column:
     return F.transform(zones_literal(rows), one)
 
 
+def maybe_near(rows: list[Row], nm: float, lat="lat", lon="lon") -> Column:
+    """Whether a position is within ``nm`` miles of the bounds of a zone of interest: no distance is measured where it isn't."""
+    lat, lon = geo._c(lat), geo._c(lon)
+    reach = nm * geo.M_PER_NM * (1 + 1e-9)
+    scale = geo.M_PER_DEG * F.cos(F.radians(lat))
+
+    def near(z: Row) -> Column:
+        north = ((z.min_lat - lat) * geo.M_PER_DEG <= reach) & ((lat - z.max_lat) * geo.M_PER_DEG <= reach)
+        return north & ((z.min_lon - lon) * scale <= reach) & ((lon - z.max_lon) * scale <= reach)
+
+    return reduce(or_, map(near, interest(rows)))
+
+
 def nearest(rows: list[Row], lat="lat", lon="lon") -> Column:
     """(nm, idx, id) of the nearest zone of interest, the first in file order of equally near ones."""
     return F.array_min(distances_nm(interest(rows), lat, lon))
