@@ -4,13 +4,14 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept; between stages the documents are written as Parquet and read back.
 
 1. quality: the weak-label classifier's rejects go.
-2. near_duplicates: one document of each SimHash class stays.
+2. near_duplicates: of documents that share four fifths or more of their 5-word
+   shingles (Jaccard), and chains of them, one stays.
 3. decontamination: documents with a benchmark window go.
 4. mixing: sources in target proportions; a document that is taken for several
    epochs is there as often.
 5. sharding: eight shards of near-equal bytes; copies of a text stay together.
 
-No SQL expresses the classifier, the fingerprints' classes or the suffix
+No SQL expresses the classifier, the near copies' classes or the suffix
 arrays, so ORACLE_SQL is None; tests hold each stage against brute force.
 """
 
@@ -21,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, mixing, quality, shards, simhash
+from pelagia.llm import decontaminate, jaccard, mixing, quality, shards
 from pelagia.llm.common import table, written
 
 
@@ -32,7 +33,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class."""
-    return simhash.one_of_each(docs)
+    return jaccard.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ Classes come from connected components over those links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -243,9 +243,14 @@ def near_duplicates(
     smallest id (null if the class has none); repeated rows give a row each; an
     empty table gives an empty table; other columns are ignored. Ids are integers.
     """
-    prints = written(fingerprints(docs, id_col, text_col, shingle).select(F.col(id_col).cast("long").alias("id"), "fp"), "prints")
+    return classed(fingerprints(docs, id_col, text_col, shingle), lambda distinct: links(distinct, threshold, block), id_col)
+
+
+def classed(prints: DataFrame, link: Callable[[DataFrame], DataFrame], id_col: str) -> DataFrame:
+    """Per row of (id, fp): id, fingerprint, component_id, by the links (a, b) that ``link`` gives between fingerprints."""
+    prints = written(prints.select(F.col(id_col).cast("long").alias("id"), "fp"), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    classes = components(links(distinct, threshold, block))
+    classes = components(link(distinct))
     # only fingerprints with a link to another need their class
     of_class = written(distinct.join(classes.withColumnRenamed("node", "fp").hint("merge"), "fp").select("fp", "label", "least"), "of_class")
     # both sides are written, so a class with most of the fingerprints is on the side that AQE can split
@@ -264,7 +269,13 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Of rows that share that id and fingerprint the least (by its columns) stays. Only ids of dropped rows are
     joined to the documents; rows whose id repeats, usually none, are settled apart by id and fingerprint.
     """
-    classes = written(near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold), "classes")
+    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold)
+    return least_of_each(docs, classes, lambda text: fingerprint(text, shingle), id_col, text_col)
+
+
+def least_of_each(docs: DataFrame, classes: DataFrame, mark: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """one_of_each for ``classes`` as near_duplicates gives them; ``mark`` is a text's fingerprint."""
+    classes = written(classes, "classes")
     # null ids count as one repeated id
     repeated = classes.groupBy(F.col(id_col).alias("again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or again is null").select("again")
     repeated = written(repeated, "repeated")
@@ -281,7 +292,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(where).to_pylist()
-            yield batch.append_column("_print", pa.array([f"{fingerprint(t, shingle):016x}" for t in texts], pa.string()))
+            yield batch.append_column("_print", pa.array([f"{mark(t) & (1 << 64) - 1:016x}" for t in texts], pa.string()))
 
     again = docs.join(repeated.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("again")), "left_semi")
     where = again.columns.index(text_col)
