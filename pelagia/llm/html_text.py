@@ -19,8 +19,8 @@ them that have nothing else. Copies of a page count once, and paths in under
 Before the entropy speaks, what an element says of itself does: navigation,
 footers, asides, forms, scripts and the like, and elements whose class, id or
 role names such a part, have importance 0; articles (or else the main element)
-are what is looked for, and where a page has one its text comes from there and
-no template path inside is removed.
+are what is looked for, and where a page has one its text comes from there.
+Template paths inside are removed as elsewhere, unless that leaves nothing.
 
 What is gathered are counts per (host, path, text hash); no task holds a host's
 pages. The removed paths per host are broadcast only below a checked size.
@@ -211,9 +211,12 @@ def regions(page: Page) -> list[tuple[int, str, bool]]:
 
 
 def main_text(text: str | None, removed: set[int] = frozenset()) -> str:
-    """The page's blocks, less those on removed paths (outside of articles), joined by empty lines."""
+    """The page's blocks, less those on removed paths, joined by empty lines. An article or main element of which
+    nothing would be left stays: it is a copy in another frame, not a template's part."""
     page = parse(text)
-    return "\n\n".join(t for k, t, inside in regions(page) if inside or page.nodes[k].path not in removed)
+    blocks = regions(page)
+    left = [t for k, t, _ in blocks if page.nodes[k].path not in removed]
+    return "\n\n".join(left or [t for _, t, inside in blocks if inside])
 
 
 def signed(x: int) -> int:

@@ -62,6 +62,18 @@ def test_template_text_goes(spark):
     assert sorted(map(str, shuffled)) == sorted(map(str, got))
 
 
+def test_template_text_inside_main_and_article_goes(spark):
+    for tag in ("main", "article"):
+        framed = [(i, u, h.replace("<body>", f"<body><{tag}>").replace("</body>", f"</{tag}></body>")) for i, u, h in site()]
+        got = H.extract(spark.createDataFrame(framed, SCHEMA)).collect()
+        assert sorted(r.text for r in got) == sorted(f"Story {i} of its own." for i in range(12))
+
+
+def test_article_of_template_paths_only_stays(spark):
+    same = [(i, f"http://a.example/{i}", f"<body><nav>{i}</nav><article><p>One story.</p></article></body>") for i in range(8)]
+    assert {r.text for r in H.extract(spark.createDataFrame(same, SCHEMA)).collect()} == {"One story."}
+
+
 def test_tree_against_brute_force(spark):
     rows = site(7) + [(50, "http://a.example/z", "<body><div class=c>Another</div></body>")]
     got = {(r.host, r.path): r for r in H.importance(H.style_rows(spark.createDataFrame(rows, SCHEMA))).collect()}
