@@ -131,6 +131,12 @@ def dark_events(tracked: DataFrame, zones: list[Row], patrols: list[Row], settin
     return _alerts(rows, **_dark(patrols, settings, F.col("near")))
 
 
+def dark_events_by_cells(tracked: DataFrame, zones: DataFrame, patrols: list[Row], settings: S.Settings = S.Settings()) -> DataFrame:
+    """As dark_events, for any number of zones: silent fixes meet the zones by grid cells."""
+    rows = spatial.near_by_cells(silences(tracked, settings), zones, settings.dark_near_nm, settings.cell_deg)
+    return _alerts(rows, **_dark(patrols, settings, F.col("near")))
+
+
 def _dark(patrols: list[Row], settings: S.Settings, near: Column) -> dict[str, Column]:
     """What a dark event says, from a silent fix with "silence_s" and "detect_ms", and the zone near it."""
     speed, silence = F.col("speed_kn"), F.col("silence_s")
@@ -148,6 +154,7 @@ def _dark(patrols: list[Row], settings: S.Settings, near: Column) -> dict[str, C
 
 def all_at_once(tracked: DataFrame, zones: list[Row], patrols: list[Row], settings: S.Settings = S.Settings()) -> DataFrame:
     """ALERTS of every detector in one pass over tracked fixes with "history"; fishing candidates are not spaced yet.
+    Without ``zones`` it leaves out darkness.
 
     A row's alerts are one array. Rings are folded and zones measured once in it, and only where a look at the row
     says that they matter.
@@ -176,15 +183,14 @@ def all_at_once(tracked: DataFrame, zones: list[Row], patrols: list[Row], settin
         worth,
         geo.let(_gear(), lambda g: F.when(g["kind"].isNotNull(), F.array(row(kind=g["kind"], at_ms=at, rank=F.lit(2_000_000), detail=_detail(pattern=g["text"]))))),
     )
-    darks = F.when(
+    darks = zones and F.when(
         _silent(settings) & spatial.maybe_near(zones, settings.dark_near_nm), geo.let(spatial.nearest(zones), lambda n: F.when(n["nm"] <= settings.dark_near_nm, F.array(row(**_dark(patrols, settings, n)))))
     )
-    found = F.flatten(F.array_compact(F.array(entries, jumps, gears, darks)))
+    found = F.flatten(F.array_compact(F.array(entries, jumps, gears, *([darks] if zones else []))))
     return rows.select(F.explode(found).alias("a")).select("a.*")
 
 
 def spaced_fishing(found: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
     """Alerts with the fishing ones at most one per vessel in half an hour."""
-    fishing = F.col("kind").isin(*S.FISHING_KINDS)
-    kept = tracks.spaced(found.where(fishing), ["mmsi"], ["ts_ms", "seq"], "ts_ms", F.lit(settings.debounce_ms), strict=True, start_ms=0)
-    return found.where(~fishing).unionByName(kept)
+    gear = F.col("kind").isin(*S.FISHING_KINDS)
+    return tracks.spaced(found, ["mmsi"], ["ts_ms", "seq"], "ts_ms", F.lit(settings.debounce_ms), strict=True, start_ms=0, only=gear)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pelagia import schema as S
 from pelagia.functions import rules
@@ -32,36 +33,54 @@ def capped(alerts: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
 
 
 def segments(alerts: DataFrame) -> DataFrame:
-    """alerts with "segment": stretches that are two whole minutes or more without an alert apart.
+    """minute, segment: stretches that are two whole minutes or more without an alert apart.
 
-    Nothing that the feed remembers lasts that long, so segments are independent and run in parallel. What is
-    ordered in one task are the minutes that have alerts, not the alerts.
+    Nothing that the feed remembers lasts that long, so segments are independent. What is ordered in one task are
+    the minutes that have alerts, not the alerts.
     """
-    minute = F.floor(F.col("at_ms") / 60_000)
-    active = alerts.select(minute.alias("minute")).distinct()
+    active = alerts.select(_minute().alias("minute")).distinct()
     w = Window.orderBy("minute")
     far = F.col("minute") - F.lag("minute", 1, None).over(w) > 2
-    starts = active.withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("segment", F.sum("new").over(w)).select("minute", "segment")
-    return alerts.withColumn("minute", minute).join(starts, "minute").drop("minute")
+    return active.withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("segment", F.sum("new").over(w)).select("minute", "segment")
 
 
-def feed(alerts: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
+def _minute() -> Column:
+    return F.floor(F.col("at_ms") / 60_000)
+
+
+def feed(alerts: DataFrame, settings: S.Settings = S.Settings(), keep: Callable[[str, DataFrame], DataFrame] = lambda name, rows: rows) -> DataFrame:
     """What the feed shows, exactly: an alert in cooldown is passed over, one beyond the tick's cap too, and only shown
     alerts start a cooldown.
 
-    That is a fold over time. Each segment is folded in a stream of sorted batches; the state is the last time
-    shown per vessel and kind code, dropped once too old.
+    Cooldowns of vessels and kinds are independent of each other; only the cap couples them. So all alerts are spaced
+    in parallel first. Where no tick of a segment has more than the cap left, that is the answer: the cap never acts.
+    Only segments with a fuller tick are folded in order, each in a stream of sorted rows. The alerts and those that are
+    spaced are read more than once: ``keep`` may store them.
     """
+    alerts = keep("numbered", alerts)
+    cap, tick = settings.feed_cap, F.floor(F.col("at_ms") / settings.feed_tick_ms)
+    free = keep("spaced", cooled(alerts).drop("code"))
+    over = free.groupBy(tick.alias("tick")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap)
+    full = over.select(F.floor(F.col("tick") * settings.feed_tick_ms / 60_000).alias("minute")).distinct()
+    where = segments(alerts)
+    coupled = where.join(where.join(full, "minute", "left_semi").select("segment").distinct(), "segment")
+    rest = free.withColumn("minute", _minute()).join(coupled.select("minute"), "minute", "left_anti").drop("minute")
+    return rest.unionByName(_folded(alerts.withColumn("minute", _minute()).join(coupled, "minute").drop("minute"), alerts.schema, settings))
+
+
+def _folded(alerts: DataFrame, out: StructType, settings: S.Settings) -> DataFrame:
+    """The feed over each "segment" as a fold over its sorted rows. The state is the last time shown per vessel and kind
+    code, dropped once too old."""
     cap, tick_ms = settings.feed_cap, settings.feed_tick_ms
-    coded = segments(alerts).withColumn("code", rules.feed_code("kind")).withColumn("wait", rules.feed_cooldown_ms("kind"))
+    coded = alerts.withColumn("_code", rules.feed_code("kind")).withColumn("_wait", rules.feed_cooldown_ms("kind"))
     sorted_rows = coded.repartition("segment").sortWithinPartitions("segment", *ORDER)
-    out = alerts.schema
+    places = [sorted_rows.columns.index(c) for c in ("segment", "at_ms", "mmsi", "_code", "_wait")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment, tick, sent, shown = None, None, 0, {}
         for batch in batches:
             keep = []
-            for s, at, mmsi, code, wait in batch[["segment", "at_ms", "mmsi", "code", "wait"]].itertuples(index=False):
+            for s, at, mmsi, code, wait in zip(*(batch.column(p).to_pylist() for p in places), strict=True):
                 if s != segment:
                     segment, tick, sent, shown = s, None, 0, {}
                 if at // tick_ms != tick:
@@ -74,9 +93,9 @@ def feed(alerts: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
                     shown[mmsi, code] = at
                     sent += 1
                 keep.append(ok)
-            yield batch.loc[keep, out.names]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(out.names)
 
-    return sorted_rows.mapInPandas(run, out)
+    return sorted_rows.mapInArrow(run, out)
 
 
 def numbered(alerts: DataFrame) -> DataFrame:

@@ -58,14 +58,17 @@ def positions(last: DataFrame, scored: DataFrame, settings: S.Settings = S.Setti
     return marked.where(keep).drop("stride")
 
 
-def positions_frame(drawn: DataFrame) -> DataFrame:
-    """One GeoJSON frame of the drawn vessels; their number is bounded by the sampling."""
+def positions_frame(drawn: DataFrame, per_frame: int = 10_000) -> DataFrame:
+    """GeoJSON frames of the drawn vessels: one while they are at most ``per_frame``. Sampling thins out only vessels
+    without a score, so there may be more; they go in as many frames, by vessel, so that no frame grows with the fleet."""
     feature = rules.point_feature(
         "mmsi", "lat", "lon", "speed_kn", "heading_deg",
         risk_score=F.when(F.col("score") != 0, F.col("score")), risk_tier=F.col("tier"), factors=F.when(F.size("factors") > 0, F.col("factors")),
     )
-    all_features = F.sort_array(F.collect_list(F.struct("mmsi", feature.alias("f"))))
-    return drawn.agg(all_features.alias("fs")).select(
+    parts = drawn.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / per_frame)).cast("int").alias("parts"))
+    each = drawn.select("mmsi", feature.alias("f")).crossJoin(F.broadcast(parts)).withColumn("part", F.pmod(F.xxhash64("mmsi"), F.col("parts")))
+    all_features = F.sort_array(F.collect_list(F.struct("mmsi", "f")))
+    return each.groupBy("part").agg(all_features.alias("fs")).select(
         F.to_json(F.struct(F.lit("positions").alias("type"), F.struct(F.lit("FeatureCollection").alias("type"), F.col("fs.f").alias("features")).alias("fc"))).alias("frame")
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pelagia import schema as S
 from pelagia.functions import rules
+from pelagia.operators import tracks
 
 # Points per factor.
 ZONE_POINTS, SPOOF_POINTS, FISH_POINTS, DARK_FIRST, DARK_MORE = 90, 15, 20, 15, 10
@@ -23,8 +24,10 @@ def with_state(events: DataFrame, settings: S.Settings = S.Settings()) -> DataFr
     recent = F.collect_list("at_ms").over(Window.partitionBy("mmsi", "_dark").orderBy(*order).rowsBetween(1 - settings.max_dark, 0))
     run = Window.partitionBy("mmsi").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     of = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds), F.col("at_ms"))).over(run)
+    # dealt by vessel once: both windows below are content with that
     return (
-        events.withColumn("_dark", dark)
+        tracks.dealt(events, "mmsi")
+        .withColumn("_dark", dark)
         .withColumn("_recent", F.when(F.col("_dark"), recent))
         .withColumn(
             "state",
@@ -63,11 +66,15 @@ def total(found: Column) -> Column:
 
 
 def scored(events: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
-    """events with "state", "factors" and "score", each as of the event."""
-    rows = with_state(events, settings).withColumn("factors", factors("state", F.col("at_ms"), settings))
+    """events with "state", "factors" and "score", each as of the event. Events that have their state keep it."""
+    rows = _stated(events, settings).withColumn("factors", factors("state", F.col("at_ms"), settings))
     return rows.withColumn("score", total(F.col("factors")))
 
 
+def _stated(events: DataFrame, settings: S.Settings) -> DataFrame:
+    return events if "state" in events.columns else with_state(events, settings)
+
+
 def with_severity(alerts: DataFrame) -> DataFrame:
     """HIGH or CRITICAL by score; fishing is MEDIUM below CRITICAL."""
     by_score = rules.severity("score")
@@ -76,20 +83,24 @@ def with_severity(alerts: DataFrame) -> DataFrame:
 
 
 def sweeps(events: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
-    """A row per vessel and sweep with news: mmsi, sweep_ms, factors, score, tier, tier_before (null on its first).
+    """A row per vessel and sweep with news: mmsi, sweep_ms, factors, score, tier, tier_before (null on its first), and
+    where the events have them "fix", the last fix (ts_ms, seq, lat, lon) that an event of the sweep names.
 
     Between events a score only falls, so a tier can rise at the first sweep after an event only.
     """
     tick = settings.sweep_ms
     at = (F.ceil(F.col("at_ms") / tick) * tick).cast("long")
-    rows = with_state(events, settings).withColumn("sweep_ms", at)
-    last = rows.groupBy("mmsi", "sweep_ms").agg(F.max_by("state", F.struct("at_ms", "rank", "seq")).alias("state"))
+    rows = _stated(events, settings).withColumn("sweep_ms", at)
+    placed = {"ts_ms", "seq", "lat", "lon"} <= set(events.columns)
+    also = [F.max(F.struct("ts_ms", "seq", "lat", "lon")).alias("fix")] if placed else []
+    last = rows.groupBy("mmsi", "sweep_ms").agg(F.max_by("state", F.struct("at_ms", "rank", "seq")).alias("state"), *also)
     before = F.lag("state").over(Window.partitionBy("mmsi").orderBy("sweep_ms"))
     found = last.withColumn("was", before).withColumn("factors", factors("state", F.col("sweep_ms"), settings))
     earlier = total(factors("was", F.col("sweep_ms") - tick, settings))
     return found.withColumn("score", total(F.col("factors"))).select(
-        "mmsi", "sweep_ms", "factors", "score", rules.tier("score").alias("tier"), F.when(F.col("was").isNotNull(), rules.tier(earlier)).alias("tier_before")
-    )
+        "mmsi", "sweep_ms", "factors", "score", rules.tier("score").alias("tier"), F.when(F.col("was").isNotNull(), rules.tier(earlier)).alias("tier_before"),
+        *(["fix"] if placed else []),
+    )
 
 
 def suspected(events: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
@@ -97,21 +108,25 @@ def suspected(events: DataFrame, settings: S.Settings = S.Settings()) -> DataFra
     return sweeps(events, settings).where(rules.crossed_up_to("tier_before", "tier", "HIGH"))
 
 
-def last_positions(fixes: DataFrame, at: DataFrame, when: str) -> DataFrame:
-    """``at`` (mmsi, when, ...) with the vessel's last fix up to then: lat and lon, 0 if there is none.
+def last_positions(fixes: DataFrame, swept: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
+    """``swept`` (rows of ``sweeps`` with "fix") with lat and lon of the vessel's last fix up to the sweep.
 
-    ``at`` has a row per vessel and time; they are alerts, few beside the fixes, so AQE can broadcast them.
+    A sweep has an event in the tick before it. An entry, jump or gear is told at a fix, and a dark vessel has none
+    between its last fix and being told, so the last fix is the latest of the tick or, if the tick has none, the one
+    that the event names. The join is by vessel and tick: it meets the fixes of one tick, not a track.
     """
-    own = [c for c in at.columns if c not in ("mmsi", when)]
-    seen = fixes.select(F.col("mmsi").alias("fix_mmsi"), F.struct("lat", "lon").alias("p"), F.struct("ts_ms", "seq").alias("o"), F.col("ts_ms").alias("fix_ms"))
-    met = at.join(seen, (F.col("mmsi") == F.col("fix_mmsi")) & (F.col("fix_ms") <= F.col(when)), "left")
-    found = met.groupBy("mmsi", when).agg(F.max_by("p", "o").alias("p"), *[F.first(c).alias(c) for c in own])
-    return found.select(*at.columns, F.coalesce("p.lat", F.lit(0.0)).alias("lat"), F.coalesce("p.lon", F.lit(0.0)).alias("lon"))
+    tick = settings.sweep_ms
+    at = (F.ceil(F.col("ts_ms") / tick) * tick).cast("long")
+    own = [c for c in swept.columns if c not in ("mmsi", "sweep_ms", "fix")]
+    seen = fixes.select("mmsi", at.alias("sweep_ms"), F.struct("ts_ms", "seq", "lat", "lon").alias("seen"))
+    met = swept.join(seen, ["mmsi", "sweep_ms"], "left").groupBy("mmsi", "sweep_ms")
+    found = met.agg(F.greatest(F.max("seen"), F.max("fix")).alias("p"), *[F.first(c).alias(c) for c in own])
+    return found.select("mmsi", "sweep_ms", *own, "p.lat", "p.lon")
 
 
 def snapshot(events: DataFrame, now_ms: int, settings: S.Settings = S.Settings()) -> DataFrame:
     """mmsi, factors, score, tier of every vessel with events up to a time."""
-    rows = with_state(events.where(F.col("at_ms") <= now_ms), settings)
+    rows = _stated(events.where(F.col("at_ms") <= now_ms), settings)
     last = rows.groupBy("mmsi").agg(F.max_by("state", F.struct("at_ms", "rank", "seq")).alias("state"))
     found = last.withColumn("factors", factors("state", F.lit(now_ms), settings)).withColumn("score", total(F.col("factors")))
     return found.select("mmsi", "factors", "score", rules.tier("score").alias("tier"))

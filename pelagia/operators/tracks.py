@@ -1,11 +1,14 @@
 """Ordered state per vessel: the previous fix, the ring of recent fixes, the gap to the next one, greedy spacing.
 
-Everything here is partitioned by mmsi and ordered by (ts_ms, seq), so Catalyst
-plans one exchange and one sort for all of it.
+The window functions are partitioned by mmsi and ordered by (ts_ms, seq), so
+Catalyst plans one exchange and one sort for all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +22,17 @@ def by_vessel() -> Window:
     return Window.partitionBy("mmsi").orderBy(*ORDER)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by the hash of ``keys`` in as many partitions as the session says. What follows is heavy for each row, and
+    AQE, which goes by bytes, would put a small table into a task or two."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def with_previous(fixes: DataFrame) -> DataFrame:
     """fixes with "prev" (lat, lon, ts_ms, zones if there are zones), null on a vessel's first fix, and "next_ts_ms"."""
     carried = [c for c in ("lat", "lon", "ts_ms", "zones") if c in fixes.columns]
     w = by_vessel()
-    return fixes.withColumns({"prev": F.lag(F.struct(*carried)).over(w), "next_ts_ms": F.lead("ts_ms").over(w)})
+    return dealt(fixes, "mmsi").withColumns({"prev": F.lag(F.struct(*carried)).over(w), "next_ts_ms": F.lead("ts_ms").over(w)})
 
 
 def with_history(fixes: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
@@ -88,23 +97,30 @@ def fishing_pattern(measures: Column | str) -> tuple[Column, Column]:
     return F.when(n >= 8, kind), F.when(n >= 8, text)
 
 
-def spaced(rows: DataFrame, keys: list[str], order: list[str], at: str, wait_ms: Column, strict: bool, start_ms: int | None = None) -> DataFrame:
+def spaced(rows: DataFrame, keys: list[str], order: list[str], at: str, wait_ms: Column, strict: bool, start_ms: int | None = None, only: Column | None = None) -> DataFrame:
     """Greedy spacing: per key, in order, a row stays if it comes ``wait_ms`` or more (strict: more) after the last one
-    that stayed. ``start_ms``: a time that counts as that of a row before the first.
+    that stayed. ``start_ms``: a time that counts as that of a row before the first. ``only``: which rows this is
+    about; the others stay and don't count.
 
-    A key's candidate rows are gathered and folded once; candidates are alerts, not fixes.
+    One pass over sorted rows: what is held is the time of the last row that stayed, so a key may have any number of
+    rows. No built-in function folds a sorted stream, hence the Arrow map.
     """
-    others = [c for c in rows.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in order], F.struct(*others).alias("_row"), F.col(at).alias("_at"), wait_ms.cast("long").alias("_wait"))
-    kept_type = rows.select(F.array(row).alias("x")).schema["x"].dataType.simpleString()
-    begin = F.struct(F.lit(start_ms).cast("long").alias("last"), F.array().cast(kept_type).alias("kept"))
-
-    def step(a: Column, r: Column) -> Column:
-        gap = r["_at"] - a["last"]
-        ok = a["last"].isNull() | ((gap > r["_wait"]) if strict else (gap >= r["_wait"]))
-        return F.struct(
-            F.when(ok, r["_at"]).otherwise(a["last"]).alias("last"), F.when(ok, F.concat(a["kept"], F.array(r))).otherwise(a["kept"]).alias("kept")
-        )
-
-    folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("all")).select(*keys, F.explode(F.aggregate("all", begin, step)["kept"]).alias("r"))
-    return folded.select(*keys, *[F.col("r._row")[c].alias(c) for c in others]).select(*rows.columns)
+    out = rows.schema
+    timed = rows.withColumns({"_at": F.col(at).cast("long"), "_wait": wait_ms.cast("long"), "_free": F.lit(False) if only is None else ~only})
+    ordered = dealt(timed, *keys).sortWithinPartitions(*keys, *order)
+    places = [ordered.columns.index(c) for c in (*keys, "_at", "_wait", "_free")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            keep = []
+            for *this, now, wait, free in zip(*(batch.column(p).to_pylist() for p in places), strict=True):
+                if this != key:
+                    key, last = this, start_ms
+                ok = last is None or (now - last > wait if strict else now - last >= wait)
+                if ok and not free:
+                    last = now
+                keep.append(ok or free)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(out.names)
+
+    return ordered.mapInArrow(run, out)

@@ -24,7 +24,7 @@ ZONES: list[tuple[str, str, str, str | None, list[list[tuple[float, float]]]]] =
     ("port", "Port", "port", "DK", [[(10.205, 55.905), (10.405, 55.905), (10.405, 56.105), (10.205, 56.105), (10.205, 55.905)]]),
     ("far", "Far Away", "mpa", None, [[(70.2, -4.5), (73.0, -4.5), (73.5, -5.5), (71.0, -8.0), (70.2, -4.5)]]),
 ]
-PATROLS = [("P1", "Diana", 56.55, 11.28, 24.0), ("P2", "Rota", 55.42, 11.0, 22.0)]
+PATROLS = [("north", "Cutter North", 56.9, 10.6, 26.5), ("south", "Cutter South", 55.1, 11.7, 19.0), ("east", "Launch East", 55.95, 12.6, 34.0)]
 SETTINGS = S.Settings(playback_speed=600.0, as_of_ms=1_706_659_200_000)
 #: Sea-state readings each 20 minutes of the month.
 WEATHER_START_MS, WEATHER_STEP_MS, WEATHER_N = 1_704_067_200_000, 1_200_000, 2_200

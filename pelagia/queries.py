@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pelagia import schema as S
 from pelagia.functions import geo, rules
 from pelagia.operators import detectors, feed, metrics, risk, spatial, tracks
 from pelagia.plans import demo, sql
-from pelagia.plans.engine import Engine, with_weather
+from pelagia.plans.engine import Engine, patrol_rows, with_weather
 from pelagia.sources import dimensions
 from pelagia.sources import fixes as sources
 
@@ -37,7 +38,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
 
 
 def _zones(spark: SparkSession) -> list:
-    return spatial.zone_rows(demo.zones(spark), 1000)
+    return spatial.zone_rows(demo.zones(spark), len(demo.ZONES))
 
 
 # --- sources --------------------------------------------------------------------------------------
@@ -272,6 +273,29 @@ def dark_intercepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("mmsi", "ts_ms", F.explode("intercepts").alias("i")).select("mmsi", "ts_ms", "i.*")
 
 
+#: A fleet as (id, lat, lon, speed) of a number below FLEET.
+FLEET = 1_500
+_FLEET = {"patrol_id": "'B' || CAST(k AS VARCHAR(9))", "lat": "54.8E0 + (k % 50) * 0.06E0", "lon": "10.0E0 + (k % 31) * 0.09E0", "kn": "15.0E0 + k % 20"}
+
+
+@query(
+    sql.upto("dark", "SELECT mmsi, ts_ms, count(*) AS n, count(*) FILTER (feasible) AS n_feasible, min(trunc(eta * 10 + 0.5) / 10) AS soonest_s FROM solved GROUP BY ALL",
+             f"""target AS (SELECT mmsi, seq, ts_ms, speed_kn, heading_deg, lat + reach * cos(radians(heading_deg)) / {sql.M} AS t_lat,
+  lon + reach * sin(radians(heading_deg)) / ({sql.M} * cos(radians(lat))) AS t_lon FROM (SELECT *, speed_kn * {sql.NM} / 3600.0 * silence_s AS reach FROM dark)),
+fleet AS (SELECT {_FLEET["patrol_id"]} AS patrol_id, {_FLEET["lat"]} AS p_lat, {_FLEET["lon"]} AS p_lon, {_FLEET["kn"]} AS p_kn FROM (SELECT range AS k FROM range({FLEET}))),
+{_INTERCEPT.replace("FROM patrols) p", "FROM fleet) p")}""")
+)
+def dark_intercepts_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dark event against a large fleet: how many boats can meet it, and how soon the first is there."""
+    e = engine(spark, sf_dir)
+    boats = spark.range(FLEET).selectExpr("CAST(id AS INT) AS patrol_idx", "CAST(id AS INT) AS k").selectExpr(
+        "patrol_idx", f"{_FLEET['patrol_id']} AS patrol_id", f"{_FLEET['lat']} AS lat", f"{_FLEET['lon']} AS lon", f"{_FLEET['kn']} AS max_speed_kn"
+    )
+    found = detectors.dark_events(e.tracked(history=False), _zones(spark), patrol_rows(boats), e.settings)
+    met = found.select("mmsi", "ts_ms", F.explode("intercepts").alias("i")).groupBy("mmsi", "ts_ms")
+    return met.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("i.feasible")).alias("n_feasible"), F.min("i.eta_s").alias("soonest_s"))
+
+
 # --- risk -----------------------------------------------------------------------------------------
 
 
@@ -337,16 +361,41 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alerts(spark, sf_dir).select("id", "kind", "severity", "mmsi", "name", "at_ms", "zone_id", "score")
 
 
-@query()
+_CODED = """, coded AS (SELECT *, CASE kind WHEN 'ZONE_VIOLATION' THEN 0 WHEN 'SPOOF_TELEPORT' THEN 1 WHEN 'DARK_EVENT' THEN 2 WHEN 'ILLEGAL_FISHING_SUSPECTED' THEN 3 ELSE 5 END AS code,
+  CASE kind WHEN 'SPOOF_TELEPORT' THEN 90000 ELSE 20000 END AS wait FROM alerts)"""
+
+
+def _feed_sql(tick_ms: int, cap: int) -> str:
+    """The feed tick by tick, all stretches that are 90 s apart at once; ``shown`` is what a stretch has shown so far."""
+    steps = f""", cut AS (SELECT *, at_ms - coalesce(lag(at_ms) OVER (ORDER BY id), 0) > 90000 AS new FROM coded),
+cuts AS (SELECT *, sum(new::INT) OVER (ORDER BY id) AS segment FROM cut),
+ticks AS (SELECT *, dense_rank() OVER (PARTITION BY segment ORDER BY at_ms // {tick_ms}) AS k FROM cuts),
+run AS (SELECT DISTINCT segment, 0::BIGINT AS k, []::STRUCT(id VARCHAR, mmsi BIGINT, code INT, at_ms BIGINT)[] AS shown FROM ticks
+  UNION ALL SELECT segment, k + 1, list_concat(any_value(shown), coalesce(list({{'id': id, 'mmsi': mmsi, 'code': code, 'at_ms': at_ms}}) FILTER (pick), [])) FROM (
+    SELECT *, first AND row_number() OVER (PARTITION BY segment, first ORDER BY id) <= {cap} AS pick FROM (
+      SELECT *, ok AND row_number() OVER (PARTITION BY segment, mmsi, code, ok ORDER BY id) = 1 AS first FROM (
+        SELECT r.segment, r.k, r.shown, c.id, c.mmsi, c.code, c.at_ms, len(list_filter(r.shown, lambda z: z.mmsi = c.mmsi AND z.code = c.code AND c.at_ms - z.at_ms < c.wait)) = 0 AS ok
+        FROM run r JOIN ticks c ON c.segment = r.segment AND c.k = r.k + 1))) GROUP BY segment, k),
+told AS (SELECT unnest(arg_max(shown, k)).id AS id FROM run GROUP BY segment)"""
+    return sql.upto("sweeps", "SELECT id, kind, severity, mmsi, at_ms FROM alerts JOIN told USING (id)", _ALL + _CODED + steps)
+
+
+@query(_feed_sql(demo.SETTINGS.feed_tick_ms, demo.SETTINGS.feed_cap))
 def alert_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the feed shows: cooldown and cap as one fold over time; tested against a plain loop."""
-    return feed.feed(_alerts(spark, sf_dir), demo.SETTINGS).select("id", "kind", "severity", "mmsi", "at_ms")
+    """What the feed shows, by cooldown and cap."""
+    return engine(spark, sf_dir).feed().select("id", "kind", "severity", "mmsi", "at_ms")
+
+
+@query(_feed_sql(10_000, 1))
+def alert_feed_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed at one alert in ten seconds, so that the cap acts and alters which alerts start a cooldown."""
+    tight = replace(demo.SETTINGS, feed_cap=1, feed_tick_ms=10_000)
+    return engine(spark, sf_dir).feed(tight).select("id", "kind", "severity", "mmsi", "at_ms")
 
 
 @query(
     sql.upto("sweeps", "SELECT c.id, c.mmsi, c.kind, c.at_ms FROM cool JOIN coded c USING (id)",
-             _ALL + """, coded AS (SELECT *, CASE kind WHEN 'ZONE_VIOLATION' THEN 0 WHEN 'SPOOF_TELEPORT' THEN 1 WHEN 'DARK_EVENT' THEN 2 WHEN 'ILLEGAL_FISHING_SUSPECTED' THEN 3 ELSE 5 END AS code,
-  CASE kind WHEN 'SPOOF_TELEPORT' THEN 90000 ELSE 20000 END AS wait FROM alerts),
+             _ALL + _CODED + """,
 cool AS (SELECT id, mmsi, code, at_ms FROM coded QUALIFY row_number() OVER (PARTITION BY mmsi, code ORDER BY id) = 1
   UNION ALL SELECT id, mmsi, code, at_ms FROM (SELECT n.id, n.mmsi, n.code, n.at_ms, row_number() OVER (PARTITION BY n.mmsi, n.code ORDER BY n.id) AS pick
     FROM cool l JOIN coded n ON n.mmsi = l.mmsi AND n.code = l.code AND n.id > l.id AND n.at_ms - l.at_ms >= n.wait) WHERE pick = 1)""")
@@ -383,7 +432,8 @@ def unexpired_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN count(*) FILTER (severity = 'CRITICAL') > 2 THEN 'High' WHEN count(*) FILTER (severity = 'CRITICAL') > 0 THEN 'Medium' ELSE 'Low' END AS threat_level, '99.9%' AS integrity FROM alerts""", _ALL)
 )
 def feature_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.cards(_alerts(spark, sf_dir), 51_950, 0)
+    e = engine(spark, sf_dir)
+    return metrics.cards(e.alerts(), e.fixes.count(), 0)
 
 
 @query(
@@ -467,16 +517,21 @@ def intercept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.intercept_lines(found.withColumn("at_ms", F.col("ts_ms")), e.patrols).withColumnRenamed("at_ms", "ts_ms")
 
 
-@query(
-    sql.upto("dims", """SELECT zone_idx, min(other) AS cluster FROM reach GROUP BY ALL""", """mid AS (SELECT zone_idx, (min_lon + max_lon) / 2 AS x, (min_lat + max_lat) / 2 AS y FROM zones),
-reach AS (SELECT zone_idx, zone_idx AS other FROM mid UNION SELECT r.zone_idx, b.zone_idx FROM reach r JOIN mid a ON a.zone_idx = r.other JOIN mid b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 10)""")
-)
+_CLUSTERS = """mid AS (SELECT zone_idx, (min_lon + max_lon) / 2 AS x, (min_lat + max_lat) / 2 AS y FROM zones),
+reach AS (SELECT zone_idx, zone_idx AS other FROM mid UNION SELECT r.zone_idx, b.zone_idx FROM reach r JOIN mid a ON a.zone_idx = r.other JOIN mid b ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 10),
+clusters AS (SELECT zone_idx, min(other) AS cluster FROM reach GROUP BY ALL)"""
+
+
+@query(sql.upto("dims", "SELECT zone_idx, cluster FROM clusters", _CLUSTERS))
 def zone_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.zone_clusters(demo.zones(spark))
 
 
 @query(
-    sql.upto("dims", "SELECT 'Danish waters' AS label, 56.545::DOUBLE AS lat, 11.28::DOUBLE AS lon, 10.0 AS min_lon, 54.8 AS min_lat, 12.9 AS max_lon, 57.8 AS max_lat, 6::BIGINT AS zones")
+    sql.upto("dims", """SELECT (SELECT CASE WHEN country_code = 4 THEN 'Danish waters' ELSE zone_name END FROM zones WHERE zone_kind = 'eez' ORDER BY zone_idx LIMIT 1) AS label,
+  (SELECT round((min_lat + max_lat) / 2, 6) FROM zones WHERE zone_idx = 0) AS lat, (SELECT round((min_lon + max_lon) / 2, 6) FROM zones WHERE zone_idx = 0) AS lon,
+  min(min_lon) AS min_lon, min(min_lat) AS min_lat, max(max_lon) AS max_lon, max(max_lat) AS max_lat, count(*) AS zones
+FROM zones JOIN clusters USING (zone_idx) GROUP BY cluster ORDER BY zones DESC, cluster LIMIT 1""", _CLUSTERS)
 )
 def region_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label, anchor and bounds of the region that the zones are in."""

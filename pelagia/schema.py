@@ -63,6 +63,8 @@ class Settings:
     cell_deg: float = 0.05
     #: Zones that may be compiled into one expression; more go through a join on grid cells.
     inline_zones: int = 64
+    #: Zones whose distance may be measured from every silent fix; more are looked up by grid cells.
+    near_zones: int = 512
 
 
 LIVE = Settings(silence_mult=10.0, min_silence_s=900.0)

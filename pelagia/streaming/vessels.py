@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pelagia import schema as S
+from pelagia.operators import spatial
+from pelagia.plans.engine import patrol_rows
 from pelagia.streaming.machine import Area, Factors, Machine, Vessel, areas
 
 ALERTS = (
@@ -24,6 +26,9 @@ ALERTS = (
     f"detail STRUCT<zone_kind: STRING, implied_speed_kn: DOUBLE, pattern: STRING, silence_s: DOUBLE, tier: STRING>, cone {S.CONE}, intercepts {S.INTERCEPTS}"
 )
 
+#: What a worker may hold.
+MOST_ZONES = 100_000
+
 
 def to_json(v: Vessel) -> str:
     f = lambda x: None if x is None else [x.zone, x.spoof, x.fish, x.dark]
@@ -90,9 +95,12 @@ def alerts(
     delay: str = "0 seconds",
     forget_s: int | None = None,
 ) -> DataFrame:
-    """ALERTS of streaming fixes (columns of FIX). Zones and patrols are read once, at the start."""
-    known = sorted(zones.limit(10_000).collect(), key=lambda z: z.zone_idx)
-    boats = [] if patrols is None else [(p.patrol_id, p.lat, p.lon, p.max_speed_kn) for p in sorted(patrols.limit(1_000).collect(), key=lambda p: p.patrol_idx)]
+    """ALERTS of streaming fixes (columns of FIX). Zones and patrols are read once, at the start; every worker holds
+    all of them, so more than MOST_ZONES zones are an error, not a cut."""
+    known = spatial.zone_rows(zones, MOST_ZONES)
+    if not known:
+        raise ValueError(f"no zones, or over {MOST_ZONES}")
+    boats = [(p.patrol_id, p.lat, p.lon, p.max_speed_kn) for p in sorted(patrol_rows(patrols), key=lambda p: p.patrol_idx)]
     timed = fixes.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", delay)
     return timed.groupBy("mmsi").transformWithState(Watch(areas(known), boats, settings, forget_s), ALERTS, "append", "EventTime")
 

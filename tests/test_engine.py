@@ -10,7 +10,7 @@ from pelagia import schema as S
 from pelagia.functions import geo
 from pelagia.operators import detectors, feed, metrics, risk, spatial, tracks
 from pelagia.plans import demo
-from pelagia.plans.engine import Engine
+from pelagia.plans.engine import Engine, patrol_rows, with_weather
 from pelagia.sources import dimensions
 from tests.conftest import as_rows, duck
 
@@ -97,6 +97,42 @@ def test_darkness(spark):
     assert [r.kind for r in rows] == ["DARK_EVENT"]  # with economic zones alone, those count
 
 
+def test_every_patrol_of_a_large_fleet(spark):
+    boats = spark.createDataFrame([(k, f"P{k}", "x", 9.0 + k / 1000, 79.3, 25.0) for k in range(1_001)], S.PATROL)
+    e = Engine(fixes_of(spark, [(1, 9.05, 79.15, 8.0, 210.0, T0, 2)]), zones_of(spark, MPA), boats, settings=S.Settings(as_of_ms=T0 + 100_000))
+    got = e.alerts().where("kind = 'DARK_EVENT'").first()
+    assert [i.patrol_id for i in got.intercepts] == [f"P{k}" for k in range(1_001)]
+    with pytest.raises(ValueError):
+        patrol_rows(boats, 1_000)
+    e.close()
+
+
+def test_more_zones_than_fit_an_expression(spark):
+    """10,001 small zones by cells: entries and darkness as by expressions over the few that matter."""
+    near = [(f"z{k}", "mpa" if k % 3 else "eez", "IN", box(79.0 + 0.02 * k, 79.011 + 0.02 * k, 8.9, 8.93)) for k in range(20)]
+    more = [(f"far{k}", "mpa", None, box(10 + 0.1 * (k % 100), 10.05 + 0.1 * (k % 100), 30 + 0.1 * (k // 100), 30.05 + 0.1 * (k // 100))) for k in range(9_981)]  # 10,001 in all
+    random.seed(5)
+    rows = [(k % 9, random.uniform(8.6, 9.2), random.uniform(78.7, 79.6), random.choice([0.5, 8.0, 18.0]), random.uniform(0, 359), T0 + 40_000 * (k // 9), 2) for k in range(700)]
+    told = []
+    for shapes in (near, near + more):
+        e = Engine(fixes_of(spark, rows), zones_of(spark, *shapes), settings=S.Settings(as_of_ms=T0 + HOUR))
+        told.append(sorted((r.kind, r.mmsi, r.at_ms, r.zone_id, r.score) for r in e.alerts().where(F.col("kind").isin(S.DARK, S.ZONE_VIOLATION)).collect()))
+        e.close()
+    assert told[0] == told[1] and {k for k, *_ in told[0]} == {S.DARK, S.ZONE_VIOLATION} and len(told[0]) > 40
+
+
+def test_readings_of_the_weather_by_stretches(spark):
+    random.seed(3)
+    reads = [(random.randint(0, 60) / 10, T0 + random.randint(-2 * HOUR, 5 * HOUR), random.random() < 0.9) for _ in range(40)]
+    rows = [(S.TRAWLING if k % 2 else S.DARK, k, T0 + random.randint(-HOUR, 6 * HOUR)) for k in range(200)]
+    df = spark.createDataFrame(rows, "kind STRING, seq LONG, at_ms LONG").withColumns({"detail": detectors._detail(), "severity": F.lit("HIGH")})
+    got = {r.seq: r.detail.sea_state_m for r in with_weather(df, spark.createDataFrame(reads, S.WEATHER)).collect()}
+    for kind, k, at in rows:
+        known = [(t, w) for w, t, ok in reads if ok and t <= at and at - t <= 1_800_000]
+        assert got[k] == (max(known)[1] if kind == S.TRAWLING and known else None)
+    assert len(got) == len(rows)
+
+
 def events(spark, *rows):
     return spark.createDataFrame([(1, k, at, 0, i) for i, (k, at) in enumerate(rows)], "mmsi LONG, kind STRING, at_ms LONG, rank INT, seq LONG")
 
@@ -196,6 +232,9 @@ def test_feed_against_a_loop(spark):
     df = spark.createDataFrame(rows, "kind STRING, mmsi LONG, at_ms LONG, rank INT, seq LONG, zone_id STRING")
     got = sorted(r.seq for r in feed.feed(df, S.Settings(feed_cap=3)).collect())
     assert got == plain_feed(rows, 3, 1000)
+    wide = df.withColumn("at_ms", F.col("at_ms") * 1 + F.col("seq") * 7_000)  # the cap acts in some segments only
+    few = [r.asDict() for r in wide.collect()]
+    assert sorted(r.seq for r in feed.feed(wide, S.Settings(feed_cap=1)).collect()) == plain_feed(few, 1, 1000)
     assert feed.feed(df.limit(0)).collect() == []
 
 

@@ -18,6 +18,19 @@ def test_imports_without_the_text_subpackage(tmp_path):
     assert int(got.stdout.split()[0]) > 40
 
 
+def test_imports_with_the_folders_deleted_or_left_over(tmp_path):
+    """corpus_pipeline.py is there or not, and the subpackage is gone or an empty folder: the rest works."""
+    count = "import __spark_entry__ as e; q = e.queries(); assert 'zone_violation' in q and 'pipeline' not in q and not [n for n in q if n.startswith('op')]; print(len(q))"
+    shutil.copytree(ROOT / "pelagia", tmp_path / "pelagia", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (ROOT / name).exists():
+            shutil.copy(ROOT / name, tmp_path)
+    for _ in ("gone", "left over"):
+        got = run(tmp_path, count)
+        assert got.returncode == 0 and int(got.stdout) > 40, got.stderr
+        (tmp_path / "pelagia" / "llm" / "__pycache__").mkdir(parents=True, exist_ok=True)
+
+
 def test_other_import_errors_are_not_swallowed(tmp_path):
     shutil.copytree(ROOT / "pelagia", tmp_path / "pelagia", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
