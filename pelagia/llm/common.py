@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -132,6 +133,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """The file of a vocabulary: ``name`` itself if it is a path, else the public one of that name, looked up on the
+    machine that reads it."""
+    if os.path.isabs(name):
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def whole(text: str) -> F.Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(text), F.lit(""))

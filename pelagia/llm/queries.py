@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 from pelagia.llm import decontaminate, html_text, mixing, quality, rules, secrets, shards, simhash, tokens, warc
 from pelagia.llm.common import new_path, table, written
 
-#: Folder of the public tokenizers' files, the same on every executor.
-TOKENIZERS = Path("/opt/tokenizers")
+#: Vocabularies by the name under which every executor finds the public tokenizers' file.
+BYTES, MANY_LANGUAGES, PIECES = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document by the byte-level BPE vocabulary."""
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), str(TOKENIZERS / "byte_bpe_50k.json"))
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), BYTES)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +61,8 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality rules of every document, fertility by the many-language vocabulary."""
-    return rules.quality(table(spark, sf_dir, "documents"), str(TOKENIZERS / "byte_bpe_multi_50k.tiktoken"))
+    """Quality rules of every document, fertility by the many-language and the piece vocabulary."""
+    return rules.quality(table(spark, sf_dir, "documents"), MANY_LANGUAGES, PIECES)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

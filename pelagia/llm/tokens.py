@@ -27,7 +27,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from pelagia.llm.common import map_batches
+from pelagia.llm.common import map_batches, tokenizer_file
 
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 10
@@ -39,7 +39,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
+    found = Tokenizer.from_file(tokenizer_file(path))
     found.no_truncation()
     found.no_padding()
     return found
@@ -107,7 +107,7 @@ def count_tokens(
 ) -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), n_splices, n_widened.
 
-    ``vocabulary``: path of a byte-level BPE ``tokenizers`` file, readable on every executor.
+    ``vocabulary``: a byte-level BPE ``tokenizers`` file readable on every executor, or the name of a public one.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

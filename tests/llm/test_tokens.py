@@ -1,12 +1,13 @@
 import random
 
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from pelagia.llm import tokens
 from tests.llm.helpers import AWKWARD, awkward, clashing, empty
 
-PATH = "/opt/tokenizers/byte_bpe_50k.json"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 ENCODER = tokens.tokenizer(PATH)
 
 
