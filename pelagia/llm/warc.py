@@ -2,15 +2,27 @@
 
 Writing: each page's HTTP response, in chunked transfer framing, becomes a WARC
 record; a block of over ``segment_bytes`` is cut to a first record and
-continuation records. A payload that another page holds too becomes a revisit.
-Records are rows of Spark's text writer, so archives go to any file system that
-Spark writes to, and a lost task leaves no half-written file.
-
-Reading: archives are parsed by content length, record by record. Continuation
-records are grouped by the identifier of the record that they continue, ordered
-by segment number, and checked against the total length; then chunked transfer
-framing is decoded. Only segmented records are shuffled, and a group holds the
-segments of one record.
+continuation records. A payload that another page holds too becomes a revisit
+that refers to that page's record. Each record is a gzip member of its own, so
+any of them can be read from its offset. Rows of about ``ROW_BYTES`` of members
+go through Spark's text writer to archives of at most ``ARCHIVE_ROWS`` rows on
+any file system that Spark writes to; a lost task leaves no half-written file.
+
+Reading: Spark's text reader unpacks an archive as a stream and hands it on in
+pieces, cut where a record seems to begin; records are parsed by content length
+from those pieces, so a payload may hold anything, and a task holds a record at
+a time. Continuation records are grouped by the identifier of the record that
+they continue, ordered by segment number, and checked against the total length;
+then chunked transfer framing is decoded. Only segmented records are shuffled,
+and a group holds the segments of one record.
+
+Defined cases: a null or empty payload is a response without bytes; a null url
+leaves the target out; pages without an id have records with an empty id and
+revisit a page with one, or hold their own payload where no page has one; of
+equal payloads with one largest id on several rows all of these rows hold it.
+Rows that are equal in id, url and payload are the same record, stored and read
+as often. Payloads of any length go in segments; an empty table gives no archive
+and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +33,11 @@ import hashlib
 import io
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +47,12 @@ SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
 #: Shorter payloads are stored again rather than revisited.
 REVISIT_BYTES = 1000
+#: Gzip members of about so many bytes make a row of the writer, and so many rows at most an archive.
+ROW_BYTES = 1 << 20
+ARCHIVE_ROWS = 1024
+#: The last byte of a gzip member is the highest of its length, which is 0 below 16 MB: it ends the writer's rows.
+MEMBER_END = "\0"
+MOST_SEGMENT_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 BROADCAST_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -130,18 +150,24 @@ def sha1_base32(payload: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def page_records(record_id: str, uri: str | None, payload: bytes, refers_to: str | None, segment_bytes: int) -> bytes:
+def page_name(page_id: str | None, uri: str | None, sha1: bytes) -> str:
+    """The record id of a page: known to whoever knows its id, address and payload digest."""
+    mark = hashlib.sha1((uri or "").encode() + b"\0" + sha1).hexdigest()[:16]
+    return f"urn:page:{'' if page_id is None else page_id}:{mark}"
+
+
+def page_records(record_id: str, uri: str | None, payload: bytes, refers_to: str | None, segment_bytes: int) -> list[bytes]:
     """All records of a page: a response in one or more segments, or a revisit."""
     common: list[tuple[str, object]] = [("WARC-Date", DATE), ("WARC-Target-URI", uri)]
     digest = sha1_base32(payload)
     kind = ("Content-Type", "application/http; msgtype=response")
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-        return record(
-            [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{record_id}>"), *common, ("WARC-Profile", PROFILE),
-             ("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Payload-Digest", digest), kind],
-            block,
-        )
+        fields = [
+            ("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{record_id}>"), *common, ("WARC-Profile", PROFILE),
+            ("WARC-Refers-To", f"<{refers_to}>"), ("WARC-Payload-Digest", digest), kind,
+        ]
+        return [record(fields, block)]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     cuts = range(0, len(block), segment_bytes)
     out = []
@@ -157,32 +183,34 @@ def page_records(record_id: str, uri: str | None, payload: bytes, refers_to: str
                 ("WARC-Segment-Total-Length", len(block) if last else None),
             ]
         out.append(record(fields, block[at : at + segment_bytes]))
-    return b"".join(out)
+    return out
 
 
 # --- operators -----------------------------------------------------------------------------------
 
 
-def with_revisits(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", least: int = REVISIT_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def with_revisits(
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_BYTES, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """The pages with _refers_to: of equal payloads of ``least`` bytes and more the row with
-    the largest id holds the payload, and the others get its id. Rows that share that id all hold it; rows
+    the largest id holds the payload, and the others get its id, and in _refers_url its address (of several
+    rows with that id, the greatest). Rows that share that id all hold it; rows
     without an id revisit it, or hold their own where no row has an id."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     marked = pages.withColumn("_digest", F.when(F.octet_length(payload) >= least, F.unhex(F.sha1(payload))))
     repeated = (
         marked.where("_digest is not null")
         .groupBy("_digest")
-        .agg(F.max(id_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
-        .where("_n > 1")
+        .agg(F.max(F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url"))).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        .where("_n > 1 and _first.id is not null")
         .select("_digest", "_first")
     )
     repeated = written(repeated, "repeated")
-    # 28 bytes a row and what a hash table adds; beyond the bound the pages are shuffled by digest
-    small = repeated.count() * 100 <= broadcast_bytes
-    joined = marked.join(F.broadcast(repeated) if small else repeated.hint("merge"), "_digest", "left")
-    return joined.withColumn(
-        "_refers_to", F.when(F.col("_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first")), F.col("_first"))
-    )
+    # a digest, an address and what a hash table adds; beyond the bound the pages are shuffled by digest
+    size = repeated.agg(F.sum(F.lit(120) + F.coalesce(F.octet_length("_first.url"), F.lit(0)))).first()[0] or 0
+    joined = marked.join(F.broadcast(repeated) if size <= broadcast_bytes else repeated.hint("merge"), "_digest", "left")
+    other = F.col("_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first.id"))
+    return joined.withColumns({"_refers_to": F.when(other, F.col("_first.id")), "_refers_url": F.when(other, F.col("_first.url"))}).drop("_first")
 
 
 def write_archives(
@@ -194,38 +222,100 @@ def write_archives(
     html_col: str = "html",
     least: int = REVISIT_BYTES,
     segment_bytes: int = SEGMENT_BYTES,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    archive_rows: int = ARCHIVE_ROWS,
 ) -> None:
-    """Write a WARC record (and its continuations) for every row to gzip-compressed archives under ``path``.
+    """Write a WARC record (and its continuations) for every row to archives ``*.warc.gz`` under ``path``.
 
-    A null html is the empty payload; a null url leaves the target out. Record ids are
-    urn:page:<id>:<task>-<row>, so rows with one id stay apart.
+    Record ids are urn:page:<id>:<mark>, with a mark of address and payload, so a revisit can name the record it
+    refers to.
     """
-    rows = with_revisits(pages.select(id_col, url_col, html_col), id_col=id_col, html_col=html_col, least=least).select(
-        F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.col("_refers_to").cast("string").alias("refers")
-    )
+    if not 0 < segment_bytes <= MOST_SEGMENT_BYTES:
+        raise ValueError(f"segments hold 1 to {MOST_SEGMENT_BYTES} bytes")
+    rows = with_revisits(
+        pages.select(id_col, url_col, html_col), id_col=id_col, url_col=url_col, html_col=html_col, least=least, broadcast_bytes=broadcast_bytes
+    ).select(
+        F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
+        F.col("_refers_to").cast("string").alias("refers"), F.col("_refers_url").alias("refers_url"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
+        held, size = [], 0
         for batch in batches:
             step = max(1, int(batch.num_rows * (1 << 20) / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, step):
-                out = []
                 for row in batch.slice(at, step).to_pylist():
-                    n += 1
-                    refers = None if row["refers"] is None else f"urn:page:{row['refers']}"
-                    name = f"urn:page:{'' if row['id'] is None else row['id']}:{task}-{n}"
-                    text = page_records(name, row["url"], (row["html"] or "").encode(), refers, segment_bytes)
-                    out.append(text[:-1])  # the writer ends each row with the last line feed
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-
-    written_rows = arrow_map(rows, run, "value binary").select(F.col("value").cast("string").alias("value"))
-    written_rows.write.option("lineSep", "\n").option("compression", "gzip").text(path)
-
-
-def stored_records(content: bytes) -> Iterator[tuple]:
-    """The values of RECORDS of each record of an archive, compressed or not."""
-    raw = io.BytesIO(content)
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
+                    payload = (row["html"] or "").encode()
+                    sha1 = hashlib.sha1(payload).digest()
+                    refers = None if row["refers"] is None else page_name(row["refers"], row["refers_url"], sha1)
+                    for one in page_records(page_name(row["id"], row["url"], sha1), row["url"], payload, refers, segment_bytes):
+                        held.append(gzip.compress(one, 6, mtime=0))
+                        size += len(held[-1])
+                        if size >= ROW_BYTES:
+                            yield member_row(held)
+                            held, size = [], 0
+        if held:
+            yield member_row(held)
+
+    packed = arrow_map(rows, run, "value binary").select(F.col("value").cast("string").alias("value"))
+    packed.write.option("lineSep", MEMBER_END).option("maxRecordsPerFile", archive_rows).text(path)
+    _name_archives(pages.sparkSession, path)
+
+
+def member_row(members: list[bytes]) -> pa.RecordBatch:
+    """One row of gzip members, less the last byte, with which the writer ends each row."""
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["value"])
+
+
+def _name_archives(spark: SparkSession, path: str) -> None:
+    """Give the files that the writer has committed the name of what they are; empty ones go."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def name(status) -> None:
+        old = status.getPath()
+        if not status.getLen():
+            files.delete(old, False)
+        elif not files.rename(old, spark._jvm.org.apache.hadoop.fs.Path(folder, old.getName().removesuffix(".txt") + ".warc.gz")):
+            raise OSError(f"no new name for {old}")
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(name, [s for s in files.listStatus(folder) if s.getPath().getName().startswith("part-")]))
+
+
+class Pieces(io.RawIOBase):
+    """A stream of pieces: what has been read is let go."""
+
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.held = pieces, bytearray()
+
+    def _more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is not None:
+            self.held += piece
+        return piece is not None
+
+    def _take(self, n: int) -> bytes:
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def readline(self, size: int | None = -1) -> bytes:
+        at = 0
+        while (end := self.held.find(b"\n", at)) < 0:
+            at = len(self.held)
+            if not self._more():
+                return self._take(len(self.held))
+        return self._take(end + 1)
+
+    def read(self, n: int = -1) -> bytes:
+        while (n < 0 or len(self.held) < n) and self._more():
+            pass
+        return self._take(len(self.held) if n < 0 else n)
+
+
+def stored_records(stream) -> Iterator[tuple]:
+    """The values of RECORDS of each record of an uncompressed stream."""
     bare = lambda x: x.strip("<>") if x is not None else None
     for fields, block, error in parse(stream):
         number = fields.get("warc-segment-number")
@@ -237,31 +327,48 @@ def stored_records(content: bytes) -> Iterator[tuple]:
         )
 
 
-def _read(spark: SparkSession, path: str, schema: str, row) -> DataFrame:
+#: Where a record seems to begin. It only decides how large the pieces of a stream are.
+CUT = b"\r\n\r\nWARC/"
+
+
+def _read(spark: SparkSession, path: str, schema: str, row, compressed: bool = True) -> DataFrame:
     """A row per stored record of the archives under ``path``; ``row`` makes it of the values of RECORDS."""
     kinds = pa_schema(schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        """(archive, piece) in order, the cuts put back."""
+        last = None
         for batch in batches:
-            for content in batch.column(0):
-                held, size = [], 0
-                for found in stored_records(content.as_py()):
-                    held.append(row(found))
-                    size += len(found[8]) + 500
-                    if size > 1 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
+            for name, piece in zip(batch.column(0), batch.column(1), strict=True):
+                name, piece = name.as_py(), piece.as_py()
+                yield name, piece if name != last else CUT + piece
+                last = name
 
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, archive in groupby(pieces(batches), key=itemgetter(0)):
+            held, size = [], 0
+            for found in stored_records(Pieces(piece for _, piece in archive)):
+                held.append(row(found))
+                size += len(found[8]) + 500
+                if size > 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
+
+    if compressed:  # one task streams an archive, as the codec can't be cut
+        lines = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", CUT.decode()).text(path)
+        files = lines.select(F.col("_metadata.file_path").alias("name"), F.col("value").cast("binary").alias("piece"))
+    else:
+        files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("name"), F.col("content").alias("piece"))
     return arrow_map(files, run, schema)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """RECORDS of the archives under ``path``. An archive is read as a whole by one task. A record cut short ends its
+def read_archives(spark: SparkSession, path: str, compressed: bool = True) -> DataFrame:
+    """RECORDS of the archives ``*.gz`` under ``path``, in one gzip member or many, each streamed by one task; without
+    ``compressed``, of files that are not packed, each read as a whole (2 GB at most). A record cut short ends its
     archive, with ``error`` set."""
-    return _read(spark, path, RECORDS, lambda found: found)
+    return _read(spark, path, RECORDS, lambda found: found, compressed)
 
 
 def reassemble(records: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
+import glob
 import gzip
 import hashlib
 import io
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,12 +32,14 @@ def test_chunked():
             warc.unchunked(bad)
 
 
-@pytest.mark.parametrize("segment, broadcast", [(700, 0), (1 << 20, 1 << 20)])
-def test_round_trip(spark, segment, broadcast, monkeypatch):
-    monkeypatch.setattr(warc, "BROADCAST_BYTES", broadcast)
+@pytest.mark.parametrize("segment, broadcast, rows", [(700, 0, 1), (1 << 20, 1 << 20, 1024)])
+def test_round_trip(spark, segment, broadcast, rows, monkeypatch):
+    monkeypatch.setattr(warc, "ROW_BYTES", 300)
     path = new_path(spark, "warc-test")
     pages = spark.createDataFrame(ROWS, SCHEMA).withColumns({n: F.lit("x") for n in ("value", "_digest", "type")}).repartition(3)
-    warc.write_archives(pages, path, segment_bytes=segment)
+    warc.write_archives(pages, path, segment_bytes=segment, broadcast_bytes=broadcast, archive_rows=rows)
+    archives = glob.glob(path.removeprefix("file://") + "/*")
+    assert len(archives) > 3 if rows == 1 else len(archives) <= 4
     got = warc.stored(spark, path).collect()
     assert len(got) == len(ROWS) and not any(r.error for r in got)
     biggest = {}
@@ -51,6 +55,53 @@ def test_round_trip(spark, segment, broadcast, monkeypatch):
     number = lambda x: int(x.split(":")[2]) if x and x.split(":")[2] else None
     have = [(number(r.record_id), r.payload_bytes, r.payload_digest, r.type, number(r.refers_to), r.payload and bytes(r.payload) if r.type == "revisit" else bytes(r.payload)) for r in got]
     assert sorted(map(repr, have)) == sorted(map(repr, want))
+    # each revisit leads to a record that holds its payload
+    by_id = {r.record_id: r for r in got}
+    revisits = [r for r in got if r.type == "revisit"]
+    assert len(revisits) == sum(w[3] == "revisit" for w in want) > 2
+    for r in revisits:
+        held = by_id[r.refers_to]
+        assert held.type == "response" and hashlib.sha1(bytes(held.payload)).hexdigest() == r.payload_digest and len(held.payload) == r.payload_bytes
+    assert len(by_id) == len(set(ROWS))  # one record id for each different page
+
+
+@pytest.mark.parametrize("broadcast, join", [(0, "SortMergeJoin"), (1 << 20, "BroadcastHashJoin")])
+def test_references_shuffled_or_broadcast(spark, broadcast, join):
+    pages = spark.createDataFrame([r for r in ROWS if r[0]], SCHEMA)
+    marked = warc.with_revisits(pages, broadcast_bytes=broadcast)
+    assert join in marked._jdf.queryExecution().executedPlan().toString()
+    got = {(r.page_id, r._refers_to, r._refers_url) for r in marked.collect()}
+    assert {(3, 5, None), (8, 9, "u"), (9, None, None), (5, None, None), (1, None, None)} <= got
+
+
+def test_each_record_is_a_member(spark):
+    path = new_path(spark, "warc-members")
+    warc.write_archives(spark.createDataFrame([(k, f"u{k}", f"page {k}" * k) for k in range(300)], SCHEMA).repartition(2), path)
+    seen = []
+    for name in glob.glob(path.removeprefix("file://") + "/*.warc.gz"):
+        data = open(name, "rb").read()
+        while data:
+            member = zlib.decompressobj(31)
+            found = list(warc.parse(io.BytesIO(member.decompress(data))))
+            assert len(found) == 1 and found[0][2] is None
+            seen.append(found[0][0]["warc-target-uri"])
+            data = member.unused_data
+    assert sorted(seen) == sorted(f"u{k}" for k in range(300))
+
+
+def test_foreign_archives_in_files(spark, tmp_path):
+    text = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <i>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    tricky = b"x\r\n\r\nWARC/1.1\r\n\r\n" * 50
+    text += b"WARC/1.0\nWARC-Type: resource\nWARC-Record-ID: <j>\nContent-Length: %d\n\n%b\n\n" % (len(tricky), tricky)
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(text))
+    (tmp_path / "many.warc.gz").write_bytes(gzip.compress(text[:50]) + gzip.compress(text[50:]) + gzip.compress(text[: text.index(b"abc") + 2]))
+    whole = [("i", b"abc", None), ("j", tricky, None)]
+    got = [(r.record_id, bytes(r.block), r.error) for r in warc.read_archives(spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [*whole, *whole, ("i", b"ab", "cut short")]))
+    bare = tmp_path / "bare"
+    bare.mkdir()
+    (bare / "a.warc").write_bytes(text)
+    assert sorted((r.record_id, bytes(r.block), r.error) for r in warc.read_archives(spark, str(bare), compressed=False).collect()) == whole
 
 
 def records(spark, rows):
