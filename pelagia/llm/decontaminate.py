@@ -2,11 +2,16 @@
 
 The training texts go through Python workers in shards of about SHARD_WORDS
 words (a longer text is a shard of its own). Per shard a suffix array is built
-over word numbers; every suffix of every test item is binary-searched in it,
-which gives its longest verbatim match; where that reaches a window's length,
-the suffixes with that window as prefix are a range of the array, and their
-places are the window's occurrences. Documents with an occurrence are
-contaminated.
+over word numbers; every suffix of every test item is binary-searched in it.
+The suffixes with its window as prefix are a range of the array, and their
+places are the window's occurrences. Neighbouring windows that occur at
+neighbouring places make up the longest verbatim matches. Documents with an
+occurrence are contaminated.
+
+Work is by ranges, never by pairs of a place and a test suffix: equal windows
+have one range, ranges of one length don't overlap, and whether a match goes on
+is decided per pair of neighbouring ranges. A text and an item that repeat one
+word ten thousand times cost as much as others of their length.
 
 Words that no item holds get number 0. They end every match, so the array holds
 just the runs of known words that are at least as long as the shortest window;
@@ -143,27 +148,36 @@ def search(ids: np.ndarray, array: np.ndarray, test: np.ndarray, q: np.ndarray,
     return lo, np.maximum(low, high)
 
 
-def occurrences(ids: np.ndarray, tests: TestSet) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place in ids, test suffix) of every occurrence of a window, in parts of bounded size."""
-    array = suffix_array(ids)
-    q = tests.suffixes
-    if not len(array) or not len(q):
-        return
-    lo, longest = search(ids, array, tests.ids, q, tests.left[q], False)
-    reach = longest >= tests.need[q]
-    q = q[reach]
-    if not len(q):
-        return
-    first, _ = search(ids, array, tests.ids, q, tests.need[q], False)
-    last, _ = search(ids, array, tests.ids, q, tests.need[q], True)
-    n = last - first
-    done, at = np.cumsum(n), 0
-    while at < len(q):
-        upto = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 20), side="right")))
-        part = n[at:upto]
-        spot = np.repeat(first[at:upto] - (np.cumsum(part) - part), part) + np.arange(part.sum())
-        yield array[spot], np.repeat(q[at:upto], part)
-        at = upto
+class Ranges:
+    """The ranges of a shard's suffix array that begin with a window, one for each different window that occurs."""
+
+    def __init__(self, ids: np.ndarray, tests: TestSet) -> None:
+        self.array = suffix_array(ids)
+        q = tests.suffixes
+        none = np.empty(0, np.int64)
+        self.first = self.last = self.need = self.q = self.of = none
+        if not len(self.array) or not len(q):
+            return
+        first, _ = search(ids, self.array, tests.ids, q, tests.need[q], False)
+        last, _ = search(ids, self.array, tests.ids, q, tests.need[q], True)
+        found = last > first
+        q, first, last = q[found], first[found], last[found]
+        if not len(q):
+            return
+        distinct, of = np.unique(np.stack([tests.need[q], first, last]), axis=1, return_inverse=True)
+        self.need, self.first, self.last = distinct
+        order = np.argsort(of.ravel(), kind="stable")
+        #: The test suffixes, by range and then by place, and the range of each.
+        self.q, self.of = q[order], of.ravel()[order]
+
+    def __len__(self) -> int:
+        return len(self.need)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place, range): at most one of each length for a place."""
+        n = self.last - self.first
+        spot = np.repeat(self.first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.array[spot], np.repeat(np.arange(len(n)), n)
 
 
 class Shard:
@@ -270,13 +284,17 @@ def contamination(
                 tests = _tests(block, len(blocks) == 1, window)
                 shard = Shard(texts, tests)
                 n_words = shard.n_words
+                found = Ranges(shard.ids, tests)
+                at, of = found.places()
                 cover = np.zeros(len(shard.ids) + 1, np.int64)
-                for at, q in occurrences(shard.ids, tests):
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + tests.need[q], -1)
-                    for d, i in np.unique(np.stack([shard.doc[at], tests.item[q]]), axis=1).T.tolist():
-                        if tests.names[i] is not None:
-                            names[d].add(tests.names[i])
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + found.need[of], -1)
+                items = [set() for _ in range(len(found))]
+                for r, i in np.unique(np.stack([found.of, tests.item[found.q]]), axis=1).T.tolist():
+                    if tests.names[i] is not None:
+                        items[r].add(tests.names[i])
+                for d, r in np.unique(np.stack([shard.doc[at], of]), axis=1).T.tolist():
+                    names[d] |= items[r]
                 covered = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
                 if len(blocks) == 1:
                     total += np.bincount(shard.doc[covered], minlength=len(ids))[: len(ids)]
@@ -291,6 +309,47 @@ def contamination(
     return arrow_map(docs.select(id_col, text_col), run, schema)
 
 
+def longest(found: Ranges, n_places: int, window: int, part: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place, test suffix, words) of the longest matches, in parts of about ``part`` rows.
+
+    An item shorter than a window is a match as it is. Of windows, a match begins at a place and a suffix where the
+    suffix before has no occurrence at the place before, and ends likewise; begins and ends on one diagonal
+    alternate, so the k-th of both belong together.
+    """
+    at, of = found.places()
+    starts = np.searchsorted(found.of, np.arange(len(found) + 1))
+    suffixes = lambda r: found.q[starts[r] : starts[r + 1]]
+    short = found.need[of] < window
+    for r in np.unique(of[short]).tolist():
+        places, q = at[short & (of == r)], suffixes(r)
+        for k in range(0, len(places), max(1, part // len(q))):
+            some = places[k : k + max(1, part // len(q))]
+            yield np.repeat(some, len(q)), np.tile(q, len(some)), np.full(len(some) * len(q), found.need[r])
+    # the range at each place, -1 for none
+    kind = np.full(n_places + 2, -1, np.int64)
+    kind[at[~short] + 1] = of[~short]
+    place = np.sort(at[~short])
+
+    def edges(step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, suffix) without the neighbour at ``step``."""
+        here, near = kind[place + 1], kind[place + 1 + step]
+        pairs, which = np.unique(np.stack([here, near]), axis=1, return_inverse=True)
+        some = [suffixes(h) if m < 0 else suffixes(h)[~np.isin(suffixes(h) + step, suffixes(m))] for h, m in pairs.T.tolist()]
+        size = np.array([len(x) for x in some], np.int64)
+        every = np.concatenate([*some, np.empty(0, np.int64)])
+        which, begin = which.ravel(), np.cumsum(size) - size
+        n = size[which]
+        return np.repeat(place, n), every[np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    if not len(place):
+        return
+    (a, b), (c, d) = edges(-1), edges(1)
+    first, last = np.lexsort((a, a - b)), np.lexsort((c, c - d))
+    a, b, n = a[first], b[first], c[last] - a[first] + window
+    for k in range(0, len(a), part):
+        yield a[k : k + part], b[k : k + part], n[k : k + part]
+
+
 def matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -318,27 +377,17 @@ def matches(
             for block in blocks:
                 tests = _tests(block, len(blocks) == 1, window)
                 shard = Shard(texts, tests)
-                found = list(occurrences(shard.ids, tests))
-                if not found:
-                    continue
-                at, q = (np.concatenate(x) for x in zip(*found, strict=True))
-                # neighbours on a diagonal belong to one match
-                order = np.lexsort((at, at - q))
-                at, q = at[order], q[order]
-                new = np.concatenate([[True], (np.diff(at - q) != 0) | (np.diff(at) != 1)])
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(at)) - 1
-                n = at[last] - at[first] + tests.need[q[last]]
-                named = [k for k, i in enumerate(tests.item[q[first]].tolist()) if tests.names[i] is not None]
-                a, b, n = at[first][named], q[first][named], n[named]
-                out = [
-                    [ids[d] for d in shard.doc[a].tolist()],
-                    [tests.names[i] for i in tests.item[b].tolist()],
-                    shard.place[a],
-                    b - tests.start[b],
-                    n,
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
+                for a, b, n in longest(Ranges(shard.ids, tests), len(shard.ids), window):
+                    named = [k for k, i in enumerate(tests.item[b].tolist()) if tests.names[i] is not None]
+                    a, b, n = a[named], b[named], n[named]
+                    out = [
+                        [ids[d] for d in shard.doc[a].tolist()],
+                        [tests.names[i] for i in tests.item[b].tolist()],
+                        shard.place[a],
+                        b - tests.start[b],
+                        n,
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, kinds, strict=True)], schema=kinds)
 
     return arrow_map(docs.select(id_col, text_col), run, schema)
 
@@ -364,8 +413,7 @@ def decontaminated(
         for block in blocks:
             tests = _tests(block, len(blocks) == 1, window)
             shard = Shard(texts, tests)
-            for at, _ in occurrences(shard.ids, tests):
-                hit[shard.doc[at]] = True
+            hit[shard.doc[Ranges(shard.ids, tests).places()[0]]] = True
         at = 0
         for batch in held:
             yield batch.filter(pa.array(~hit[at : at + batch.num_rows]))

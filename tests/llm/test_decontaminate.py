@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -78,6 +79,54 @@ def test_matches_are_maximal(spark):
     assert got == [(1, "q", 1, 0, 12), (2, "q", 1, 1, 10)]
 
 
+def brute_matches(text, items, window):
+    a, out = words(text), set()
+    for name, item in items:
+        b = words(item)
+        k = min(window, len(b))
+        for i in range(len(a)):
+            for j in range(len(b)):
+                if i and j and a[i - 1] == b[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                if b and n >= k and name is not None:
+                    out.add((name, i, j, n))
+    return out
+
+
+def test_matches_against_brute_force(spark):
+    for seed in range(6, 12):
+        texts, items = case(seed)
+        items = [(f"{n}-{k}" if n else None, t) for k, (n, t) in enumerate(items)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").coalesce(1)
+        got = [tuple(r) for r in D.matches(docs, spark.createDataFrame(items, "item_id STRING, text STRING"), window=3).collect()]
+        want = {(k, *m) for k, t in enumerate(texts) for m in brute_matches(t, items, 3)}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_one_word_over_and_over():
+    """A million equal words against an item of ten thousand: by ranges, not by 10^10 pairs."""
+    began = time.time()
+    tests = D.TestSet([("x", "la " * 10_000), ("y", "la la")])
+    shard = D.Shard(["la " * 1_000_000, "other", "la la la"], tests)
+    found = D.Ranges(shard.ids, tests)
+    assert len(found) == 2 and len(found.places()[0]) < 3_000_000
+    rows = sum(len(a) for a, _, _ in D.longest(found, len(shard.ids), D.WINDOW))
+    # of x a match per diagonal that holds a window; of y one at each place
+    assert rows == (1_000_000 - 9) + (10_000 - 9) - 1 + (1_000_000 - 1) + 2
+    assert time.time() - began < 60
+
+
+def test_very_long_text_by_pieces(monkeypatch):
+    text = "One two-three É " * 40_000
+    whole, n = D.word_ids(text, {b"one": 1, "É".encode(): 2})
+    monkeypatch.setattr(D, "PIECE_BYTES", 1000)
+    again, m = D.word_ids(text, {b"one": 1, "É".encode(): 2})
+    assert n == m == 160_000 and (whole == again).all()
+
+
 def test_awkward_rows(spark):
     bench = spark.createDataFrame([(7, "goes on and on a long one goes on and"), (8, None), (None, "brown fox jumps")], "item_id LONG, text STRING")
     got = D.contamination(clashing(spark, "n_hit", "item_id"), bench).collect()
