@@ -12,15 +12,17 @@ longest prefix whose tokens fit.
 
 No task sorts a leaf: tokens are summed per (leaf, hash bucket), the bucket in
 which the prefix ends is found from those sums, and just that bucket's rows are
-ordered. Only leaves reach the driver: at most ``MAX_LEAVES`` rows, checked.
+ordered. Budgets go down level by level as window functions over sums per node,
+so the tree may have any number of leaves; the driver sees two totals.
 
 Budgets are whole tokens, rounded down per node, so sums fall short by less than
 a token per node. A target's weight is a positive whole number, 1 unless given.
 
 Defined cases: a null domain, language or source is a name of its own, the
 empty string; documents without tokens are in whole epochs and inside prefixes, and a leaf without
-tokens gives nothing; repeated rows and ids count each; an empty table gives an
-empty table; extra columns are kept, except that "epochs" is replaced.
+tokens gives nothing; repeated rows and ids count each; rows of one id are taken by
+their tokens, then by a hash of all columns (rows equal in all are alike); an empty
+table gives an empty table; extra columns are kept, except that "epochs" is replaced.
 """
 
 from __future__ import annotations
@@ -31,36 +33,41 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_LEAVES = 100_000
-
-
-def share(budget: int, children: Sequence[tuple[str, int, int]]) -> dict[str, int]:
-    """Budgets of children given as (name, weight, most it can take)."""
-    order = sorted(children, key=lambda c: (c[2] / c[1], c[0]))
-    left, weight, out = budget, sum(c[1] for c in children), {}
-    for k, (name, w, most) in enumerate(order):
-        if most * weight > w * left:  # it and all after it take their part
-            return out | {n: x * left // weight for n, x, _ in order[k:]}
-        out[name] = most
-        left -= most
-        weight -= w
-    return out
-
-
-def allocate(budget: int, leaves: Mapping[tuple[str, ...], int], weights: Sequence[Mapping[str, int]], depth: int = 0) -> dict[tuple[str, ...], int]:
-    """Budgets of leaves given as path -> most it can take; weights per level, by name."""
-    if not leaves:
-        return {}
-    if depth == len(next(iter(leaves))):
-        return {path: min(budget, most) for path, most in leaves.items()}
-    below: dict[str, dict[tuple[str, ...], int]] = {}
-    for path, most in leaves.items():
-        below.setdefault(path[depth], {})[path] = most
-    got = share(budget, [(n, weights[depth].get(n, 1), sum(x.values())) for n, x in below.items()])
-    out: dict[tuple[str, ...], int] = {}
-    for name, part in below.items():
-        out |= allocate(got[name], part, weights, depth + 1)
-    return out
+from pelagia.llm.common import written
+
+#: Leaves of more bytes than this are met by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def shares(nodes: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
+    """Budgets of the children of each parent: ``nodes`` (parent columns, name, w, most, total) with "b".
+
+    By what a child can take for its weight, ascending: the first that can take more than its share of what is left,
+    and all after it, get their share of that; those before are filled.
+    """
+    order = Window.partitionBy(*parent).orderBy(F.col("most").cast("double") / F.col("w"), name)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)  # a frame that grows; one that shrinks is summed anew per row
+    taken = F.coalesce(F.sum("most").over(before), F.lit(0))
+    rest = F.sum("w").over(Window.partitionBy(*parent)) - F.coalesce(F.sum("w").over(before), F.lit(0))
+    wide = "decimal(38,0)"  # products of a budget and weights
+    placed = nodes.withColumns({"_left": (F.col("total") - taken).cast("long"), "_rest": rest.cast("long")})
+    placed = placed.withColumn("_open", F.col("most").cast(wide) * F.col("_rest") > F.col("_left").cast(wide) * F.col("w"))
+    first = F.max(F.when(F.col("_open"), F.struct("_rest", "_left"))).over(Window.partitionBy(*parent))
+    placed = placed.withColumn("_first", first)
+    part = F.expr(f"(CAST(w AS {wide}) * _first._left) div CAST(_first._rest AS {wide})")
+    return placed.withColumn("b", F.when(F.col("_open"), part).otherwise(F.col("most"))).drop("_left", "_rest", "_open", "_first")
+
+
+def budgets(leaves: DataFrame, names: Sequence[str], want: int, weights: Sequence[Mapping[str, int]], max_epochs: int) -> DataFrame:
+    """Per leaf (columns ``names`` and t, its tokens): t, and its budget b out of ``want`` tokens."""
+    up = None
+    for k, name in enumerate(names):
+        known = F.create_map(*[F.lit(x) for pair in weights[k].items() for x in pair]) if weights[k] else None
+        weight = F.lit(1) if known is None else F.coalesce(F.try_element_at(known, F.col(name)), F.lit(1))
+        nodes = leaves.groupBy(*names[: k + 1]).agg((F.sum("t") * max_epochs).alias("most")).withColumn("w", weight.cast("long"))
+        nodes = nodes.withColumn("total", F.lit(want).cast("long")) if up is None else nodes.join(up, [*names[:k]])
+        up = shares(nodes, names[:k], name).select(*names[: k + 1], F.col("b").alias("total"))
+    return leaves.select(*names, "t").join(up.withColumnRenamed("total", "b"), [*names])
 
 
 def words(text: str) -> Column:
@@ -80,6 +87,7 @@ def mix(
     max_epochs: int = 4,
     seed: int = 7,
     narrow: DataFrame | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The selected rows of ``docs`` with "epochs" (int): how many times each is taken.
 
@@ -89,22 +97,18 @@ def mix(
     names = [f"level{k}" for k in range(len(levels))]
     if narrow is None:
         narrow = narrowed(docs, levels, tokens, id_col)
-    found = narrow.groupBy(*names).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(found) > MAX_LEAVES:
-        raise ValueError(f"the tree has over {MAX_LEAVES} leaves")
-    total = {tuple(r[n] for n in names): r["t"] for r in found}
-    everything = sum(total.values())
-    want = math.floor(everything * share_of_corpus) if budget is None else budget
-    budgets = allocate(want, {k: t * max_epochs for k, t in total.items()}, weights)
-    spark = docs.sparkSession
-    rows = [(*path, *(divmod(b, total[path]) if total[path] else (0, 0))) for path, b in budgets.items()]
-    ddl = ", ".join(f"{n} string" for n in names)
-    plan = spark.createDataFrame(rows, f"{ddl}, full long, rest long")
+    leaves = written(narrow.groupBy(*names).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")), "leaves")
+    everything, n_rows, n_leaves, long = leaves.agg(F.sum("t"), F.sum("n"), F.count(F.lit(1)), F.sum(sum((F.octet_length(n) for n in names), F.lit(0)))).first()
+    want = math.floor((everything or 0) * share_of_corpus) if budget is None else budget
+    small = n_leaves * 200 + (long or 0) <= broadcast_bytes
+    near = lambda leaf_rows: F.broadcast(leaf_rows) if small else leaf_rows.hint("merge")
+    full, rest = F.when(F.col("t") > 0, F.expr("b div t")).otherwise(0), F.when(F.col("t") > 0, F.expr("b % t")).otherwise(0)
+    plan = written(budgets(leaves, names, want, weights, max_epochs).select(*names, full.cast("long").alias("full"), rest.cast("long").alias("rest")), "plan")
 
     # about as many buckets as rows in one, whatever the corpus
-    digits = max(1, round(math.log(max(2, sum(r["n"] for r in found)), 16) / 2))
+    digits = max(1, round(math.log(max(2, n_rows or 0), 16) / 2))
     key = lambda c: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full"), F.coalesce(c.cast("string"), F.lit(""))))
-    hashed = narrow.join(F.broadcast(plan), names).where("rest > 0").withColumn("part", F.substring(key(F.col("id")), 1, digits))
+    hashed = narrow.join(near(plan.where("rest > 0")), names).withColumn("part", F.substring(key(F.col("id")), 1, digits))
     sums = hashed.groupBy(*names, "part", "rest").agg(F.sum("tokens").alias("t"))
     upto = F.sum("t").over(Window.partitionBy(*names).orderBy("part"))
     # the first bucket by whose end the rest is used up; all of the leaf if there is none
@@ -113,28 +117,25 @@ def mix(
         .where("upto > rest")
         .groupBy(*names)
         .agg(F.min(F.struct("part", (F.col("upto") - F.col("t")).alias("before"))).alias("c"))
-        .select(*names, "c.part", "c.before")
-        .collect()
+        .select(*names, F.col("c.part").alias("cut"), "c.before")
     )
-    at = {tuple(r[n] for n in names): (r["part"], r["before"]) for r in cut}
-    plan = spark.createDataFrame([(*r, *at.get(r[: len(names)], (None, None))) for r in rows], f"{ddl}, full long, rest long, cut string, before long")
-    plan = plan.where("full > 0 or rest > 0").select(F.struct(*plan.columns).alias("_mix"))
+    plan = written(plan.where("full > 0 or rest > 0").join(cut, names, "left").select(F.struct(*names, "full", "rest", "cut", "before").alias("_mix")), "cuts")
 
     own = [c for c in docs.columns if c != "epochs"]
     # ids and levels get names that no column of docs has
     keyed = docs.withColumns({f"_mix_{n}": F.coalesce(x.cast("string"), F.lit("")) for n, x in zip(names, levels, strict=True)})
-    joined = keyed.join(F.broadcast(plan), [F.col(f"_mix_{n}") == F.col(f"_mix.{n}") for n in names])
+    joined = keyed.join(near(plan), [F.col(f"_mix_{n}") == F.col(f"_mix.{n}") for n in names])
     joined = joined.withColumn("_mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_mix.full"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
     joined = joined.withColumn("_mix_part", F.substring("_mix_key", 1, digits))
     extra = F.when(F.col("_mix.rest") == 0, 0).when(F.col("_mix.cut").isNull() | (F.col("_mix_part") < F.col("_mix.cut")), 1).otherwise(0)
     at_cut = (F.col("_mix.rest") > 0) & (F.col("_mix_part") == F.col("_mix.cut"))
     clear = joined.where(~F.coalesce(at_cut, F.lit(False))).withColumn("_mix_extra", extra)
-    ordered = Window.partitionBy(*[f"_mix_{n}" for n in names]).orderBy("_mix_key", "_mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy(*[f"_mix_{n}" for n in names]).orderBy("_mix_key", "_mix_tokens", "_mix_row").rowsBetween(Window.unboundedPreceding, 0)
     last = (
         joined.where(at_cut)
-        .withColumn("_mix_tokens", tokens)
+        .withColumns({"_mix_tokens": tokens, "_mix_row": F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in docs.schema[c].dataType.simpleString() else F.col(c) for c in own])})
         .withColumn("_mix_extra", (F.col("_mix.before") + F.sum("_mix_tokens").over(ordered) <= F.col("_mix.rest")).cast("int"))
-        .drop("_mix_tokens")
+        .drop("_mix_tokens", "_mix_row")
     )
     return (
         clear.unionByName(last)
