@@ -55,8 +55,8 @@ def check(rows, texts, n):
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = [(r.doc_id, r.text) for r in docs.collect()]
-    for bucket in (7, 10_000):  # ranks in many buckets, and in one
-        check(shards.assign(docs, bucket=bucket).collect(), texts, 8)
+    for bucket, band in ((7, 200), (10_000, 1 << 18)):  # ranks in many buckets and a plan in many bands, and in one
+        check(shards.assign(docs, bucket=bucket, band=band).collect(), texts, 8)
 
 
 def test_awkward_and_empty(spark):
