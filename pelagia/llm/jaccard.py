@@ -3,6 +3,11 @@
 Two texts link if their sets of 5-word shingles have a similarity of 0.8 or
 more. The search is complete: no pair at or above the threshold is missed.
 
+What fingerprints can reach comes first: sets get a SimHash fingerprint, the
+anchors of ``simhash.links`` find those within 3 bits, an exact comparison of the
+sets follows, and what links is a class from then on. Fingerprints of sets at 0.8
+differ in some 10 bits, though, so the rest is found by shared shingles:
+
 * Shingles are put in one order, those common in a sample of the texts last. Of
   two similar sets each has a shared shingle among its first (1 - t) n + 1, so
   only those prefixes are dealt by shingle. The place of the first shared
@@ -12,9 +17,10 @@ more. The search is complete: no pair at or above the threshold is missed.
   of their differences is no more than what the sets don't share.
 * What is left is compared set by set.
 
-Pairs of a prefix shingle are first those with its least and greatest set; those
-links make classes, and then all pairs of different classes follow, so a large
-class of near copies isn't paired up. Equal sets are one from the start. Sets
+Pairs of a prefix shingle are first those with its least and greatest set, where
+the fingerprints haven't put them into one class; those links make classes too,
+and then all pairs of different classes follow, so a large class of near copies
+isn't paired up. Equal sets are one from the start. Sets
 are of 64-bit hashes.
 """
 
@@ -58,6 +64,26 @@ def node(hashes: np.ndarray) -> int:
     return simhash.signed(xxhash.xxh64_intdigest(hashes.tobytes(), simhash.SEED))
 
 
+def sketch(hashes: np.ndarray) -> int:
+    """SimHash fingerprint of a set of shingles, as a signed long; zero for the empty set."""
+    if not len(hashes):
+        return 0
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return simhash.signed(int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big"))
+
+
+def _near_prints(sets: DataFrame) -> DataFrame:
+    """Candidates (a, b): sets with one fingerprint, and the least of each of two that the anchors link."""
+    least = written(sets.groupBy("print").agg(F.min("node").alias("least")), "prints")
+    same = sets.select("node", "print").join(least.hint("merge"), "print").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    of = lambda end: least.select(F.col("print").alias(end), F.col("least").alias(f"{end}_node")).hint("merge")
+    linked = written(simhash.links(least.withColumnRenamed("print", "fp")), "near")
+    near = linked.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _prefix(n: int, t: Fraction) -> int:
     return n + 1 - -(-t.numerator * n // t.denominator)
 
@@ -109,22 +135,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """(node, n, bins, set) of the wanted nodes."""
+    """(node, print, n, bins, set) of the wanted nodes."""
 
     def rows(part: dict[str, list]) -> dict[str, list]:
         found = [shingles(x, shingle) for x in part[text_col]]
         return {
             "node": [node(s) for s in found],
+            "print": [sketch(s) for s in found],
             "n": [len(s) for s in found],
             "bins": [np.bincount((s >> 16) & (BINS - 1), minlength=BINS) for s in found],
             "set": [s.tobytes() for s in found],
         }
 
-    every = map_batches(docs.select(text_col), rows, "node long, n long, bins array<int>, set binary")
+    every = map_batches(docs.select(text_col), rows, "node long, print long, n long, bins array<int>, set binary")
     small = wanted.count() * 16 <= BROADCAST_BYTES
     met = every.join(F.broadcast(wanted) if small else wanted.hint("merge"), "node", "left_semi")
     # rows of a node are equal: any will do
-    return written(met.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "bins", "set")]), "sets")
+    return written(met.groupBy("node").agg(*[F.first(c).alias(c) for c in ("print", "n", "bins", "set")]), "sets")
 
 
 def links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -142,10 +169,14 @@ def links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, simil
     met = prefixes.join(F.broadcast(shared) if small else shared.hint("merge"), "key")
     met = written(met.groupBy("key", "node", "n", "place").agg(F.first("least").alias("least"), F.first("most").alias("most")), "met")
     sets = _sets(docs, text_col, shingle, written(met.select("node").distinct(), "wanted"))
+    by_print = _verified(written(_near_prints(sets), "by_print"), sets, t)
+    known = components(by_print).select("node", "label")
     # the least and the greatest of each shingle against the others
     stars = met.select("node", F.explode(F.array("least", "most")).alias("end")).where("node <> end")
-    stars = stars.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
-    found = _verified(written(stars, "stars"), sets, t)
+    stars = written(stars.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "stars")
+    of = lambda end: known.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")).hint("merge")
+    apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not coalesce(a_label = b_label, false)").select("a", "b")
+    found = written(by_print.unionByName(_verified(written(apart, "apart"), sets, t)), "found")
     # what is in one class need not meet again
     classes = components(found).select("node", "label")
     of_class = met.join(classes.hint("merge"), "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
@@ -174,9 +205,3 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     prints = map_batches(docs.select(id_col, text_col), rows, f"{id_col} {kind}, fp long")
     return simhash.classed(prints, lambda distinct: links(docs, text_col, shingle, similarity), id_col)
-
-
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, less near copies: of each class the row with the smallest id stays."""
-    classes = near_copies(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
-    return simhash.least_of_each(docs, classes, lambda text: node(shingles(text, shingle)), id_col, text_col)

@@ -263,14 +263,24 @@ def classed(prints: DataFrame, link: Callable[[DataFrame], DataFrame], id_col: s
     )
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = THRESHOLD, similarity: float | None = None
+) -> DataFrame:
     """The rows of ``docs``, all columns, less near-duplicates: of each class the row with the smallest id stays.
 
+    Fingerprints link at ``threshold`` bits. With ``similarity`` it is sets of shingles that link, at that Jaccard
+    similarity: links by fingerprints are checked exactly, and those out of their reach are found by shared shingles.
+
     Of rows that share that id and fingerprint the least (by its columns) stays. Only ids of dropped rows are
     joined to the documents; rows whose id repeats, usually none, are settled apart by id and fingerprint.
     """
-    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold)
-    return least_of_each(docs, classes, lambda text: fingerprint(text, shingle), id_col, text_col)
+    if similarity is None:
+        classes = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle=shingle, threshold=threshold)
+        return least_of_each(docs, classes, lambda text: fingerprint(text, shingle), id_col, text_col)
+    from pelagia.llm import jaccard  # it builds on this module
+
+    classes = jaccard.near_copies(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
+    return least_of_each(docs, classes, lambda text: jaccard.node(jaccard.shingles(text, shingle)), id_col, text_col)
 
 
 def least_of_each(docs: DataFrame, classes: DataFrame, mark: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:

@@ -56,8 +56,14 @@ def test_stage_takes_near_copies_that_fingerprints_miss(spark, sf):
     assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, sf).collect()) == [1, 3]
 
 
+def test_sketch_is_the_fingerprint_of_texts_without_repeats():
+    text = " ".join(f"w{k}" for k in range(90))
+    assert jaccard.sketch(jaccard.shingles(text)) == simhash.signed(simhash.fingerprint(text, 5)) and jaccard.sketch(jaccard.shingles("")) == 0
+
+
 def test_awkward_and_empty(spark):
-    rows = jaccard.one_of_each(awkward(spark)).collect()
+    stage = lambda docs: simhash.one_of_each(docs, shingle=5, similarity=0.8)
+    rows = stage(awkward(spark)).collect()
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 2, 5, 6]
     assert [r.text for r in rows if r.doc_id is None] == [AWKWARD[3][1]]
-    assert jaccard.one_of_each(empty(spark)).collect() == []
+    assert stage(empty(spark)).collect() == []
