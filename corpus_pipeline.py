@@ -5,7 +5,8 @@ kept; between stages the documents are written as Parquet and read back.
 
 1. quality: the weak-label classifier's rejects go.
 2. near_duplicates: of documents that share four fifths or more of their 5-word
-   shingles (Jaccard), and chains of them, one stays.
+   shingles (Jaccard), and chains of them, one stays: links by SimHash, checked
+   exactly, then those that fingerprints are too coarse for.
 3. decontamination: documents with a benchmark window go.
 4. mixing: sources in target proportions; a document that is taken for several
    epochs is there as often.
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import decontaminate, jaccard, mixing, quality, shards
+from pelagia.llm import decontaminate, mixing, quality, shards, simhash
 from pelagia.llm.common import table, written
 
 
@@ -33,7 +34,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class."""
-    return jaccard.one_of_each(docs)
+    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
