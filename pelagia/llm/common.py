@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -73,6 +74,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let go of the shuffles behind them.
+
+    Spark keeps a shuffle's files until the driver's JVM collects what refers to it, which a long chain of tables may
+    never make it do.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        for path in df.inputFiles()[:1]:
+            folder = path.rsplit("/", 1)[0]
+            if any(folder.split("/")[-1] == where.split("/")[-1] for _, where in _written):
+                _delete(spark, folder)
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
+
+
 def map_batches(df: DataFrame, rows: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply ``rows`` (columns in, columns out) to Arrow batches, cut to slices of bounded size.
 

@@ -15,13 +15,12 @@ differ in some 10 bits, though, so the rest is found by shared shingles:
   can be; the sample decides how many candidates there are, never a result.
 * Candidates go through counts of each set's shingles in ``BINS`` bins: the sum
   of their differences is no more than what the sets don't share.
-* What is left is compared set by set.
+* What is left is compared set by set; only those sets are shuffled.
 
-Pairs of a prefix shingle are first those with its least and greatest set, where
-the fingerprints haven't put them into one class; those links make classes too,
-and then all pairs of different classes follow, so a large class of near copies
-isn't paired up. Equal sets are one from the start. Sets
-are of 64-bit hashes.
+Pairs of a prefix shingle are first those with its least and greatest set; links
+of these and of fingerprints make classes, and then all pairs of different classes
+follow, so a large class of near copies isn't paired up. Equal sets are one from the start. Sets
+are of 64-bit hashes, cut to 48 bits where they are compared.
 """
 
 from __future__ import annotations
@@ -36,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.llm import simhash
-from pelagia.llm.common import arrow_map, map_batches, written
+from pelagia.llm.common import arrow_map, discard, map_batches, written
 from pelagia.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BINS = 64
+WIDTH = 6
 #: One text of so many shows which shingles are common: in more than COMMON of those texts.
 SAMPLE = 8
 COMMON = 16
@@ -75,7 +75,7 @@ def sketch(hashes: np.ndarray) -> int:
 
 
 def _near_prints(sets: DataFrame) -> DataFrame:
-    """Candidates (a, b): sets with one fingerprint, and the least of each of two that the anchors link."""
+    """Candidates (a, b): sets with one fingerprint, and the least sets of two that the anchors link."""
     least = written(sets.groupBy("print").agg(F.min("node").alias("least")), "prints")
     same = sets.select("node", "print").join(least.hint("merge"), "print").select(F.col("least").alias("a"), F.col("node").alias("b"))
     of = lambda end: least.select(F.col("print").alias(end), F.col("least").alias(f"{end}_node")).hint("merge")
@@ -84,16 +84,29 @@ def _near_prints(sets: DataFrame) -> DataFrame:
     return same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The lower WIDTH bytes of each hash: what is shuffled of a set. Of two sets of 20,000 shingles each one in a
+    million pairs has two different shingles that are alike in 48 bits."""
+    return hashes.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    wide = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    wide[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return wide.view(np.int64).ravel()
+
+
 def _prefix(n: int, t: Fraction) -> int:
     return n + 1 - -(-t.numerator * n // t.denominator)
 
 
 def _rows(docs: DataFrame, text_col: str, shingle: int, t: Fraction, common: np.ndarray | None) -> DataFrame:
-    """(key, node, n, place): the prefix of each text's set. Without ``common``, keys in the order of their hashes."""
+    """(key, node, n, place, print, bins): the prefix of each text's set, with fingerprint and bins at its first place.
+    Without ``common``, keys in the order of their hashes."""
     common = np.empty(0, np.int64) if common is None else common
 
     def rows(part: dict[str, list]) -> dict[str, list]:
-        keys, nodes, sizes, places = [np.empty(0, np.int64)], [], [], []
+        keys, nodes, sizes, places, prints, bins = [np.empty(0, np.int64)], [], [], [], [], []
         for text in part[text_col]:
             s = shingles(text, shingle)
             if not len(s):
@@ -104,9 +117,12 @@ def _rows(docs: DataFrame, text_col: str, shingle: int, t: Fraction, common: np.
             nodes += [node(s)] * k
             sizes += [len(s)] * k
             places += range(k)
-        return {"key": np.concatenate(keys), "node": nodes, "n": sizes, "place": places}
+            prints += [sketch(s)] + [None] * (k - 1)
+            # a count that stops at 127 makes a difference smaller, never larger
+            bins += [np.minimum(np.bincount((s >> 16) & (BINS - 1), minlength=BINS), 127)] + [None] * (k - 1)
+        return {"key": np.concatenate(keys), "node": nodes, "n": sizes, "place": places, "print": prints, "bins": bins}
 
-    return map_batches(docs.select(text_col), rows, "key long, node long, n long, place long")
+    return map_batches(docs.select(text_col), rows, "key long, node long, n int, place int, print long, bins array<tinyint>")
 
 
 def _similar(t: Fraction):
@@ -116,7 +132,7 @@ def _similar(t: Fraction):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(t.denominator * both >= t.numerator * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -124,65 +140,64 @@ def _similar(t: Fraction):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, text_col: str, shingle: int, t: Fraction) -> DataFrame:
     """Of candidates (a, b), those that are similar."""
-    of = lambda end, *names: sets.select(F.col("node").alias(end), *[F.col(n).alias(f"{end}_{n}") for n in names]).hint("merge")
-    apart = F.aggregate(F.zip_with("a_bins", "b_bins", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    of = lambda rows, end, *names: rows.select(F.col("node").alias(end), *[F.col(n).alias(f"{end}_{n}") for n in names]).hint("merge")
+    apart = F.aggregate(F.zip_with("a_bins", "b_bins", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
     # similar sets differ in (1 - t) / (1 + t) of their sizes' sum at most
     may = apart * (t.denominator + t.numerator) <= (F.col("a_n") + F.col("b_n")) * (t.denominator - t.numerator)
-    pairs = written(pairs.join(of("a", "n", "bins"), "a").join(of("b", "n", "bins"), "b").where(may).select("a", "b"), "likely")
-    return written(arrow_map(pairs.join(of("a", "set"), "a").join(of("b", "set"), "b").select("a", "b", "a_set", "b_set"), _similar(t), simhash.LINKS), "similar")
+    likely = written(pairs.join(of(sizes, "a", "n", "bins"), "a").join(of(sizes, "b", "n", "bins"), "b").where(may).select("a", "b"), "likely")
+    discard(pairs)
+    wanted = written(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+    sets = _sets(docs, text_col, shingle, wanted)
+    met = likely.join(of(sets, "a", "set"), "a").join(of(sets, "b", "set"), "b").select("a", "b", "a_set", "b_set")
+    found = written(arrow_map(met, _similar(t), simhash.LINKS), "similar")
+    discard(sets, likely, wanted)
+    return found
 
 
 def _sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """(node, print, n, bins, set) of the wanted nodes."""
+    """(node, set) of the wanted nodes."""
 
     def rows(part: dict[str, list]) -> dict[str, list]:
         found = [shingles(x, shingle) for x in part[text_col]]
-        return {
-            "node": [node(s) for s in found],
-            "print": [sketch(s) for s in found],
-            "n": [len(s) for s in found],
-            "bins": [np.bincount((s >> 16) & (BINS - 1), minlength=BINS) for s in found],
-            "set": [s.tobytes() for s in found],
-        }
-
-    every = map_batches(docs.select(text_col), rows, "node long, print long, n long, bins array<int>, set binary")
+        return {"node": [node(s) for s in found], "set": [packed(s) for s in found]}
+
+    every = map_batches(docs.select(text_col), rows, "node long, set binary")
     small = wanted.count() * 16 <= BROADCAST_BYTES
     met = every.join(F.broadcast(wanted) if small else wanted.hint("merge"), "node", "left_semi")
     # rows of a node are equal: any will do
-    return written(met.groupBy("node").agg(*[F.first(c).alias(c) for c in ("print", "n", "bins", "set")]), "sets")
+    return written(met.groupBy("node").agg(F.first("set").alias("set")), "sets")
 
 
-def links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): links between nodes of similar sets, enough to span each class."""
-    t = Fraction(str(similarity))
-    if not 0 < t <= 1:
-        raise ValueError("a similarity is over 0 and 1 at most")
+def _met(docs: DataFrame, text_col: str, shingle: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(key, node, n, place, least, most) of the prefix shingles that several sets share, with the least and greatest
+    of those sets; and (node, print, n, bins) of the sets."""
     some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0)
     often = _rows(some, text_col, shingle, t, None).groupBy("key").count().where(F.col("count") > COMMON)
     common = np.array([r.key for r in often.orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()], np.int64)
     prefixes = written(_rows(docs, text_col, shingle, t, common), "prefixes")
     shared = prefixes.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
     shared = written(shared, "shared")
+    discard()
     small = shared.count() * 32 <= BROADCAST_BYTES
-    met = prefixes.join(F.broadcast(shared) if small else shared.hint("merge"), "key")
+    met = prefixes.select("key", "node", "n", "place").join(F.broadcast(shared) if small else shared.hint("merge"), "key")
     met = written(met.groupBy("key", "node", "n", "place").agg(F.first("least").alias("least"), F.first("most").alias("most")), "met")
-    sets = _sets(docs, text_col, shingle, written(met.select("node").distinct(), "wanted"))
-    by_print = _verified(written(_near_prints(sets), "by_print"), sets, t)
-    known = components(by_print).select("node", "label")
-    # the least and the greatest of each shingle against the others
-    stars = met.select("node", F.explode(F.array("least", "most")).alias("end")).where("node <> end")
-    stars = written(stars.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "stars")
-    of = lambda end: known.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")).hint("merge")
-    apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not coalesce(a_label = b_label, false)").select("a", "b")
-    found = written(by_print.unionByName(_verified(written(apart, "apart"), sets, t)), "found")
-    # what is in one class need not meet again
+    wanted = written(met.select("node").distinct(), "wanted")
+    first = prefixes.where("place = 0").join(wanted.hint("merge"), "node", "left_semi")
+    sizes = written(first.groupBy("node").agg(*[F.first(c).alias(c) for c in ("print", "n", "bins")]), "sizes")
+    discard(prefixes, shared, wanted)
+    return met, sizes
+
+
+def _pairs(met: DataFrame, found: DataFrame, t: Fraction) -> DataFrame:
+    """Candidates (a, b) that share a prefix shingle and aren't in one class of the links that are ``found``."""
     classes = components(found).select("node", "label")
     of_class = met.join(classes.hint("merge"), "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
     of_class = written(of_class, "of_class")
     split = of_class.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     left = written(of_class.join(written(split, "split").hint("merge"), "key"), "left")
+    discard(met, of_class)
     x, y = left.alias("x"), left.alias("y")
     share = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     pairs = x.join(y.hint("merge"), F.col("x.key") == F.col("y.key")).where(
@@ -192,7 +207,21 @@ def links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, simil
         & (share * (t.denominator + t.numerator) >= (F.col("x.n") + F.col("y.n")) * t.numerator)
     )
     more = written(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
-    return found.unionByName(_verified(more, sets, t))
+    discard(left)
+    return more
+
+
+def links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links between nodes of similar sets, enough to span each class."""
+    t = Fraction(str(similarity))
+    if not 0 < t <= 1:
+        raise ValueError("a similarity is over 0 and 1 at most")
+    met, sizes = _met(docs, text_col, shingle, t)
+    # sets with near fingerprints, and the least and the greatest of each shingle against the others
+    stars = met.select("node", F.explode(F.array("least", "most")).alias("end")).where("node <> end")
+    stars = stars.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
+    found = _verified(written(stars.unionByName(_near_prints(sizes)).distinct(), "stars"), sizes, docs, text_col, shingle, t)
+    return found.unionByName(_verified(_pairs(met, found, t), sizes, docs, text_col, shingle, t))
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
