@@ -13,13 +13,17 @@ differ in some 10 bits, though, so the rest is found by shared shingles:
   only those prefixes are dealt by shingle. The place of the first shared
   shingle bounds what two sets can share after it, their sizes how similar they
   can be; the sample decides how many candidates there are, never a result.
-* Candidates go through counts of each set's shingles in ``BINS`` bins: the sum
-  of their differences is no more than what the sets don't share.
+* Candidates go through counts of each set's shingles in bins, one for ``PER_BIN``
+  of them: the sum of their differences is no more than what the sets don't share.
+  A byte stands for four shingles there, so little is shuffled, and as the bins
+  grow with the set, sets of any size that have little in common are ruled out.
 * What is left is compared set by set; only those sets are shuffled.
 
-Pairs of a prefix shingle are first those with its least and greatest set; links
-of these and of fingerprints make classes, and then all pairs of different classes
-follow, so a large class of near copies isn't paired up. Equal sets are one from the start. Sets
+Pairs of a prefix shingle are first those with its hub, the one of its sets that
+meets the most others over all its shingles: of copies of one text that is the
+text, or what is nearest to it, to which they are more alike than to each other.
+Links of hubs and of fingerprints make classes, and then all pairs of different
+classes follow, so a large class of near copies isn't paired up. Equal sets are one from the start. Sets
 are of 64-bit hashes, cut to 48 bits where they are compared.
 """
 
@@ -40,7 +44,7 @@ from pelagia.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BINS = 64
+PER_BIN, LEAST_BINS, MOST_BINS = 4, 64, 1 << 16
 WIDTH = 6
 #: One text of so many shows which shingles are common: in more than COMMON of those texts.
 SAMPLE = 8
@@ -96,6 +100,28 @@ def unpacked(raw) -> np.ndarray:
     return wide.view(np.int64).ravel()
 
 
+def histogram(hashes: np.ndarray) -> bytes:
+    """Counts of a set's hashes in a power of two of bins, by their low bits. A count that stops at 255 makes a
+    difference smaller, never larger."""
+    m = LEAST_BINS
+    while m * PER_BIN < len(hashes) and m < MOST_BINS:
+        m *= 2
+    return np.minimum(np.bincount(hashes & (m - 1), minlength=m), 255).astype(np.uint8).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """No more than the number of shingles that just one of two sets has, by their histograms."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):  # the low bits of fewer bins are the same: fold the longer one
+        if len(a) < len(b):
+            a, b = b, a
+        if a.max() == 255:  # its counts may be cut: nothing is known
+            return 0
+        a = a.astype(np.int32)
+        a = a[: len(a) // 2] + a[len(a) // 2 :]
+    return int(np.abs(a.astype(np.int32) - b).sum())
+
+
 def _prefix(n: int, t: Fraction) -> int:
     return n + 1 - -(-t.numerator * n // t.denominator)
 
@@ -118,11 +144,10 @@ def _rows(docs: DataFrame, text_col: str, shingle: int, t: Fraction, common: np.
             sizes += [len(s)] * k
             places += range(k)
             prints += [sketch(s)] + [None] * (k - 1)
-            # a count that stops at 127 makes a difference smaller, never larger
-            bins += [np.minimum(np.bincount((s >> 16) & (BINS - 1), minlength=BINS), 127)] + [None] * (k - 1)
+            bins += [histogram(s)] + [None] * (k - 1)
         return {"key": np.concatenate(keys), "node": nodes, "n": sizes, "place": places, "print": prints, "bins": bins}
 
-    return map_batches(docs.select(text_col), rows, "key long, node long, n int, place int, print long, bins array<tinyint>")
+    return map_batches(docs.select(text_col), rows, "key long, node long, n int, place int, print long, bins binary")
 
 
 def _similar(t: Fraction):
@@ -143,10 +168,18 @@ def _similar(t: Fraction):
 def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, text_col: str, shingle: int, t: Fraction) -> DataFrame:
     """Of candidates (a, b), those that are similar."""
     of = lambda rows, end, *names: rows.select(F.col("node").alias(end), *[F.col(n).alias(f"{end}_{n}") for n in names]).hint("merge")
-    apart = F.aggregate(F.zip_with("a_bins", "b_bins", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
     # similar sets differ in (1 - t) / (1 + t) of their sizes' sum at most
-    may = apart * (t.denominator + t.numerator) <= (F.col("a_n") + F.col("b_n")) * (t.denominator - t.numerator)
-    likely = written(pairs.join(of(sizes, "a", "n", "bins"), "a").join(of(sizes, "b", "n", "bins"), "b").where(may).select("a", "b"), "likely")
+    less, more = t.denominator - t.numerator, t.denominator + t.numerator
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = (np.asarray(batch.column(2)).astype(np.int64) + np.asarray(batch.column(3))) * less
+            keep = [apart(x.as_buffer(), y.as_buffer()) * more <= most for x, y, most in zip(batch.column(4), batch.column(5), both.tolist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    met = pairs.join(of(sizes, "a", "n", "bins"), "a").join(of(sizes, "b", "n", "bins"), "b")
+    met = met.where(F.least("a_n", "b_n") * t.denominator >= F.greatest("a_n", "b_n") * t.numerator).select("a", "b", "a_n", "b_n", "a_bins", "b_bins")
+    likely = written(arrow_map(met, near, simhash.LINKS), "likely")
     discard(pairs)
     wanted = written(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     sets = _sets(docs, text_col, shingle, wanted)
@@ -171,18 +204,18 @@ def _sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> Da
 
 
 def _met(docs: DataFrame, text_col: str, shingle: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
-    """(key, node, n, place, least, most) of the prefix shingles that several sets share, with the least and greatest
-    of those sets; and (node, print, n, bins) of the sets."""
+    """(key, node, n, place, times) of the prefix shingles that several sets share, and how often they are; and (node,
+    print, n, bins) of those sets."""
     some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0)
     often = _rows(some, text_col, shingle, t, None).groupBy("key").count().where(F.col("count") > COMMON)
     common = np.array([r.key for r in often.orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()], np.int64)
     prefixes = written(_rows(docs, text_col, shingle, t, common), "prefixes")
-    shared = prefixes.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most")
+    shared = prefixes.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("times")).where("x <> y").select("key", "times")
     shared = written(shared, "shared")
     discard()
     small = shared.count() * 32 <= BROADCAST_BYTES
     met = prefixes.select("key", "node", "n", "place").join(F.broadcast(shared) if small else shared.hint("merge"), "key")
-    met = written(met.groupBy("key", "node", "n", "place").agg(F.first("least").alias("least"), F.first("most").alias("most")), "met")
+    met = written(met.groupBy("key", "node", "n", "place").agg(F.first("times").alias("times")), "met")
     wanted = written(met.select("node").distinct(), "wanted")
     first = prefixes.where("place = 0").join(wanted.hint("merge"), "node", "left_semi")
     sizes = written(first.groupBy("node").agg(*[F.first(c).alias(c) for c in ("print", "n", "bins")]), "sizes")
@@ -217,8 +250,10 @@ def links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, simil
     if not 0 < t <= 1:
         raise ValueError("a similarity is over 0 and 1 at most")
     met, sizes = _met(docs, text_col, shingle, t)
-    # sets with near fingerprints, and the least and the greatest of each shingle against the others
-    stars = met.select("node", F.explode(F.array("least", "most")).alias("end")).where("node <> end")
+    # sets with near fingerprints, and the hub of each shingle against the others
+    meets = written(met.groupBy("node").agg(F.sum("times").alias("meets")), "meets")
+    hubs = met.join(meets.hint("merge"), "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("hub")).select("key", F.col("hub.node").alias("end"))
+    stars = met.select("key", "node").join(written(hubs, "hubs").hint("merge"), "key").where("node <> end")
     stars = stars.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
     found = _verified(written(stars.unionByName(_near_prints(sizes)).distinct(), "stars"), sizes, docs, text_col, shingle, t)
     return found.unionByName(_verified(_pairs(met, found, t), sizes, docs, text_col, shingle, t))

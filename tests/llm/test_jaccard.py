@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline as pipeline
 from pelagia.llm import jaccard, simhash
 from tests.llm.helpers import AWKWARD, awkward, empty
@@ -56,6 +58,19 @@ def test_stage_takes_near_copies_that_fingerprints_miss(spark, sf):
     assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, sf).collect()) == [1, 3]
 
 
+def test_histograms_never_rule_out_too_much():
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 300, 5000):
+        for _ in range(30):
+            whole = rng.integers(-(1 << 62), 1 << 62, 2 * n)
+            a, b = np.unique(whole[: n + rng.integers(0, n // 2 + 1)]), np.unique(whole[rng.integers(0, n // 3 + 1) : n + rng.integers(0, n + 1)])
+            assert jaccard.apart(jaccard.histogram(a), jaccard.histogram(b)) <= len(np.setxor1d(a, b))
+    few, many = np.arange(400) << 20, np.arange(3000) << 20  # all in one bin, over what a byte counts
+    assert jaccard.apart(jaccard.histogram(few), jaccard.histogram(many)) <= 2600
+    other = rng.integers(-(1 << 62), 1 << 62, 20_000)
+    assert jaccard.apart(jaccard.histogram(other), jaccard.histogram(other ^ 0x5555555555)) > 0.23 * 20_000  # nothing in common: ruled out
+
+
 def test_sketch_is_the_fingerprint_of_texts_without_repeats():
     text = " ".join(f"w{k}" for k in range(90))
     assert jaccard.sketch(jaccard.shingles(text)) == simhash.signed(simhash.fingerprint(text, 5)) and jaccard.sketch(jaccard.shingles("")) == 0
