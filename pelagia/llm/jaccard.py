@@ -127,12 +127,13 @@ def _prefix(n: int, t: Fraction) -> int:
 
 
 def _rows(docs: DataFrame, text_col: str, shingle: int, t: Fraction, common: np.ndarray | None) -> DataFrame:
-    """(key, node, n, place, print, bins): the prefix of each text's set, with fingerprint and bins at its first place.
+    """(key, node, n, place, print, bins, few): the prefix of each text's set, with fingerprint, histogram and one of
+    LEAST_BINS counts at its first place.
     Without ``common``, keys in the order of their hashes."""
     common = np.empty(0, np.int64) if common is None else common
 
     def rows(part: dict[str, list]) -> dict[str, list]:
-        keys, nodes, sizes, places, prints, bins = [np.empty(0, np.int64)], [], [], [], [], []
+        keys, nodes, sizes, places, prints, bins, few = [np.empty(0, np.int64)], [], [], [], [], [], []
         for text in part[text_col]:
             s = shingles(text, shingle)
             if not len(s):
@@ -145,9 +146,10 @@ def _rows(docs: DataFrame, text_col: str, shingle: int, t: Fraction, common: np.
             places += range(k)
             prints += [sketch(s)] + [None] * (k - 1)
             bins += [histogram(s)] + [None] * (k - 1)
-        return {"key": np.concatenate(keys), "node": nodes, "n": sizes, "place": places, "print": prints, "bins": bins}
+            few += [np.minimum(np.bincount(s & (LEAST_BINS - 1), minlength=LEAST_BINS), 127)] + [None] * (k - 1)
+        return {"key": np.concatenate(keys), "node": nodes, "n": sizes, "place": places, "print": prints, "bins": bins, "few": few}
 
-    return map_batches(docs.select(text_col), rows, "key long, node long, n int, place int, print long, bins binary")
+    return map_batches(docs.select(text_col), rows, "key long, node long, n int, place int, print long, bins binary, few array<tinyint>")
 
 
 def _similar(t: Fraction):
@@ -205,7 +207,7 @@ def _sets(docs: DataFrame, text_col: str, shingle: int, wanted: DataFrame) -> Da
 
 def _met(docs: DataFrame, text_col: str, shingle: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
     """(key, node, n, place, times) of the prefix shingles that several sets share, and how often they are; and (node,
-    print, n, bins) of those sets."""
+    print, n, bins, few) of those sets."""
     some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0)
     often = _rows(some, text_col, shingle, t, None).groupBy("key").count().where(F.col("count") > COMMON)
     common = np.array([r.key for r in often.orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()], np.int64)
@@ -213,31 +215,34 @@ def _met(docs: DataFrame, text_col: str, shingle: int, t: Fraction) -> tuple[Dat
     shared = prefixes.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count(F.lit(1)).alias("times")).where("x <> y").select("key", "times")
     shared = written(shared, "shared")
     discard()
-    small = shared.count() * 32 <= BROADCAST_BYTES
-    met = prefixes.select("key", "node", "n", "place").join(F.broadcast(shared) if small else shared.hint("merge"), "key")
+    met = prefixes.select("key", "node", "n", "place").join(shared.hint("merge"), "key")
     met = written(met.groupBy("key", "node", "n", "place").agg(F.first("times").alias("times")), "met")
     wanted = written(met.select("node").distinct(), "wanted")
     first = prefixes.where("place = 0").join(wanted.hint("merge"), "node", "left_semi")
-    sizes = written(first.groupBy("node").agg(*[F.first(c).alias(c) for c in ("print", "n", "bins")]), "sizes")
+    sizes = written(first.groupBy("node").agg(*[F.first(c).alias(c) for c in ("print", "n", "bins", "few")]), "sizes")
     discard(prefixes, shared, wanted)
     return met, sizes
 
 
-def _pairs(met: DataFrame, found: DataFrame, t: Fraction) -> DataFrame:
-    """Candidates (a, b) that share a prefix shingle and aren't in one class of the links that are ``found``."""
+def _pairs(met: DataFrame, found: DataFrame, sizes: DataFrame, t: Fraction) -> DataFrame:
+    """Candidates (a, b) that share a prefix shingle and aren't in one class of the links that are ``found``. What the
+    place, the sizes and the few bins rule out doesn't leave the join."""
     classes = components(found).select("node", "label")
     of_class = met.join(classes.hint("merge"), "node", "left").select("key", "node", "n", "place", F.coalesce("label", "node").alias("label"))
     of_class = written(of_class, "of_class")
     split = of_class.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    left = written(of_class.join(written(split, "split").hint("merge"), "key"), "left")
+    left = of_class.join(written(split, "split").hint("merge"), "key").join(sizes.select("node", "few").hint("merge"), "node")
+    left = written(left, "left")
     discard(met, of_class)
     x, y = left.alias("x"), left.alias("y")
+    few = F.aggregate(F.zip_with("x.few", "y.few", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda p, q: p + q)
     share = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     pairs = x.join(y.hint("merge"), F.col("x.key") == F.col("y.key")).where(
         (F.col("x.node") < F.col("y.node"))
         & (F.col("x.label") != F.col("y.label"))
         & (F.least("x.n", "y.n") * t.denominator >= F.greatest("x.n", "y.n") * t.numerator)
         & (share * (t.denominator + t.numerator) >= (F.col("x.n") + F.col("y.n")) * t.numerator)
+        & (few * (t.denominator + t.numerator) <= (F.col("x.n") + F.col("y.n")) * (t.denominator - t.numerator))
     )
     more = written(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
     discard(left)
@@ -256,7 +261,7 @@ def links(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, simil
     stars = met.select("key", "node").join(written(hubs, "hubs").hint("merge"), "key").where("node <> end")
     stars = stars.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
     found = _verified(written(stars.unionByName(_near_prints(sizes)).distinct(), "stars"), sizes, docs, text_col, shingle, t)
-    return found.unionByName(_verified(_pairs(met, found, t), sizes, docs, text_col, shingle, t))
+    return found.unionByName(_verified(_pairs(met, found, sizes, t), sizes, docs, text_col, shingle, t))
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
