@@ -191,6 +191,8 @@ def all_at_once(tracked: DataFrame, zones: list[Row], patrols: list[Row], settin
 
 
 def spaced_fishing(found: DataFrame, settings: S.Settings = S.Settings()) -> DataFrame:
-    """Alerts with the fishing ones at most one per vessel in half an hour."""
+    """Alerts with the fishing ones at most one per vessel in half an hour. Reads ``found`` twice: pass one that is
+    written, so that only fishing alerts go through the sorted pass."""
     gear = F.col("kind").isin(*S.FISHING_KINDS)
-    return tracks.spaced(found, ["mmsi"], ["ts_ms", "seq"], "ts_ms", F.lit(settings.debounce_ms), strict=True, start_ms=0, only=gear)
+    kept = tracks.spaced(found.where(gear), ["mmsi"], ["ts_ms", "seq"], "ts_ms", F.lit(settings.debounce_ms), strict=True, start_ms=0)
+    return found.where(~gear).unionByName(kept)

@@ -97,30 +97,29 @@ def fishing_pattern(measures: Column | str) -> tuple[Column, Column]:
     return F.when(n >= 8, kind), F.when(n >= 8, text)
 
 
-def spaced(rows: DataFrame, keys: list[str], order: list[str], at: str, wait_ms: Column, strict: bool, start_ms: int | None = None, only: Column | None = None) -> DataFrame:
+def spaced(rows: DataFrame, keys: list[str], order: list[str], at: str, wait_ms: Column, strict: bool, start_ms: int | None = None) -> DataFrame:
     """Greedy spacing: per key, in order, a row stays if it comes ``wait_ms`` or more (strict: more) after the last one
-    that stayed. ``start_ms``: a time that counts as that of a row before the first. ``only``: which rows this is
-    about; the others stay and don't count.
+    that stayed. ``start_ms``: a time that counts as that of a row before the first.
 
     One pass over sorted rows: what is held is the time of the last row that stayed, so a key may have any number of
     rows. No built-in function folds a sorted stream, hence the Arrow map.
     """
     out = rows.schema
-    timed = rows.withColumns({"_at": F.col(at).cast("long"), "_wait": wait_ms.cast("long"), "_free": F.lit(False) if only is None else ~only})
+    timed = rows.withColumns({"_at": F.col(at).cast("long"), "_wait": wait_ms.cast("long")})
     ordered = dealt(timed, *keys).sortWithinPartitions(*keys, *order)
-    places = [ordered.columns.index(c) for c in (*keys, "_at", "_wait", "_free")]
+    places = [ordered.columns.index(c) for c in (*keys, "_at", "_wait")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last = None, None
         for batch in batches:
             keep = []
-            for *this, now, wait, free in zip(*(batch.column(p).to_pylist() for p in places), strict=True):
+            for *this, now, wait in zip(*(batch.column(p).to_pylist() for p in places), strict=True):
                 if this != key:
                     key, last = this, start_ms
                 ok = last is None or (now - last > wait if strict else now - last >= wait)
-                if ok and not free:
+                if ok:
                     last = now
-                keep.append(ok or free)
+                keep.append(ok)
             yield batch.filter(pa.array(keep, pa.bool_())).select(out.names)
 
     return ordered.mapInArrow(run, out)

@@ -54,10 +54,14 @@ class Engine:
             rows = rows.unionByName(detectors.dark_events_by_cells(self.tracked(history=False), self.zones, patrols, self.settings))
         return rows
 
+    def unscored(self) -> DataFrame:
+        """ALERTS of all detectors, fishing spaced; what ``found`` gives is written first."""
+        return detectors.spaced_fishing(self._keep("found", self.found), self.settings)
+
     def detected(self) -> DataFrame:
         """ALERTS of all detectors, unscored, with the risk state as of each. Found at the first call and written to the
         shared folder, as scores, sweeps and numbers each read them; alerts are few beside the fixes."""
-        return self._keep("detected", lambda: risk.with_state(detectors.spaced_fishing(self.found(), self.settings), self.settings))
+        return self._keep("detected", lambda: risk.with_state(self.unscored(), self.settings))
 
     def _keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._kept:
