@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 M_PER_DEG = 111_320.0
@@ -98,6 +98,38 @@ def intercept(p_lat, p_lon, p_kn, t_lat, t_lon, t_kn, t_heading) -> Column:
     return let(plane, solve)
 
 
+def course(t_lat, t_kn, t_heading) -> dict[str, Column]:
+    """What ``met`` needs of a target: metres in a degree of longitude, and its velocity."""
+    t_lat, speed, h = _c(t_lat), knots_to_mps(t_kn), F.radians(_c(t_heading))
+    return {"scale": M_PER_DEG * F.cos(F.radians(t_lat)), "vx": speed * F.sin(h), "vy": speed * F.cos(h)}
+
+
+def met(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``intercept`` over rows of a target (_lat, _lon and its ``course``) and a patrol (_p: lat, lon, kn), step by step as plain
+    columns: ``keep``, _p, _tau (null where no meeting is possible), _eta and _heading."""
+    n, above = F.col, lambda t: F.when(n(t) > EPS, n(t))
+    own = knots_to_mps("_p.kn")
+    rows = rows.select(*keep, "_p", "_vx", "_vy", own.alias("_own"), ((n("_p.lon") - n("_lon")) * n("_scale")).alias("_px"), ((n("_p.lat") - n("_lat")) * M_PER_DEG).alias("_py"))
+    rows = rows.withColumns({
+        "_a": n("_vx") * n("_vx") + n("_vy") * n("_vy") - n("_own") * n("_own"),
+        "_b": -2.0 * (n("_px") * n("_vx") + n("_py") * n("_vy")),
+        "_c": n("_px") * n("_px") + n("_py") * n("_py"),
+    })
+    rows = rows.withColumn("_d", n("_b") * n("_b") - 4.0 * n("_a") * n("_c"))
+    rows = rows.withColumn("_r", F.sqrt(F.when(n("_d") >= 0, n("_d"))))
+    rows = rows.withColumns({
+        "_line": F.when(F.abs("_b") >= EPS, F.try_divide(-n("_c"), n("_b"))),
+        "_low": F.try_divide(-n("_b") - n("_r"), 2.0 * n("_a")),
+        "_high": F.try_divide(-n("_b") + n("_r"), 2.0 * n("_a")),
+    })
+    rows = rows.withColumn("_tau", F.when(F.abs("_a") < EPS, above("_line")).otherwise(F.least(above("_low"), above("_high"))))
+    rows = rows.withColumns({
+        "_eta": F.coalesce("_tau", F.try_divide(F.sqrt("_c"), n("_own"))),
+        "_angle": F.degrees(F.atan2(F.coalesce(n("_vx") * n("_tau"), F.lit(0.0)) - n("_px"), F.coalesce(n("_vy") * n("_tau"), F.lit(0.0)) - n("_py"))),
+    })
+    return rows.withColumn("_heading", F.when(n("_angle") < 0, n("_angle") + 360.0).otherwise(n("_angle")))
+
+
 def point_segment_m(px, py, ax, ay, bx, by) -> Column:
     """Distance of a point to a segment; to its end where it has no length."""
     px, py = _c(px), _c(py)

@@ -117,18 +117,35 @@ def patrol_intercepts(patrols: list[Row], lat: Column, lon: Column, speed_kn: Co
     return geo.let(target, solved).cast(S.INTERCEPTS)
 
 
+def intercept_rows(silent: DataFrame, patrols: list[Row], keep: tuple[str, ...] = ("mmsi", "ts_ms", "seq")) -> DataFrame:
+    """A row per silence and patrol: the columns to ``keep``, patrol_id, heading_deg, eta_s and feasible, with the numbers of
+    ``patrol_intercepts``. For large fleets: plain columns over rows are compiled, and a column that nobody reads is
+    not computed; an array's lambdas are interpreted for each patrol."""
+    known = [{"id": p.patrol_id, "lat": p.lat, "lon": p.lon, "kn": p.max_speed_kn} for p in sorted(patrols, key=lambda p: p.patrol_idx)]
+    fleet = F.from_json(F.lit(json.dumps(known)), "ARRAY<STRUCT<id: STRING, lat: DOUBLE, lon: DOUBLE, kn: DOUBLE>>")
+    lat, lon = predicted(F.col("speed_kn"), F.col("silence_s"), F.col("lat"), F.col("lon"), F.col("heading_deg"))
+    rows = silent.select(*keep, lat.alias("_lat"), lon.alias("_lon"), F.col("speed_kn").alias("_kn"), F.col("heading_deg").alias("_h"))
+    rows = rows.select(*keep, "_lat", "_lon", *[x.alias(f"_{n}") for n, x in geo.course("_lat", "_kn", "_h").items()])
+    rows = rows.select("*", F.explode(fleet).alias("_p"))
+    return geo.met(rows, keep).select(*keep, F.col("_p.id").alias("patrol_id"), rules.round1("_heading").alias("heading_deg"), rules.round1("_eta").alias("eta_s"), F.col("_tau").isNotNull().alias("feasible"))
+
+
 def predicted(speed_kn: Column, silence_s: Column, lat: Column, lon: Column, heading: Column) -> tuple[Column, Column]:
     return geo.dead_reckon(lat, lon, heading, geo.knots_to_mps(speed_kn) * silence_s)
 
 
-def dark_events(tracked: DataFrame, zones: list[Row], patrols: list[Row], settings: S.Settings = S.Settings()) -> DataFrame:
-    """Silences that begin near a zone of interest, with the cone of where the vessel may be and every patrol's intercept.
+def near_silences(tracked: DataFrame, zones: list[Row], settings: S.Settings = S.Settings()) -> DataFrame:
+    """Silences that begin near a zone of interest, with "near" (nm, idx, id).
 
     The distance to the zones is worked out for silent fixes only.
     """
     close = spatial.maybe_near(zones, settings.dark_near_nm)
-    rows = silences(tracked, settings).where(close).withColumn("near", spatial.nearest(zones)).where(F.col("near.nm") <= settings.dark_near_nm)
-    return _alerts(rows, **_dark(patrols, settings, F.col("near")))
+    return silences(tracked, settings).where(close).withColumn("near", spatial.nearest(zones)).where(F.col("near.nm") <= settings.dark_near_nm)
+
+
+def dark_events(tracked: DataFrame, zones: list[Row], patrols: list[Row], settings: S.Settings = S.Settings()) -> DataFrame:
+    """Silences that begin near a zone of interest, with the cone of where the vessel may be and every patrol's intercept."""
+    return _alerts(near_silences(tracked, zones, settings), **_dark(patrols, settings, F.col("near")))
 
 
 def dark_events_by_cells(tracked: DataFrame, zones: DataFrame, patrols: list[Row], settings: S.Settings = S.Settings()) -> DataFrame:

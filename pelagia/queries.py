@@ -291,9 +291,9 @@ def dark_intercepts_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     boats = spark.range(FLEET).selectExpr("CAST(id AS INT) AS patrol_idx", "CAST(id AS INT) AS k").selectExpr(
         "patrol_idx", f"{_FLEET['patrol_id']} AS patrol_id", f"{_FLEET['lat']} AS lat", f"{_FLEET['lon']} AS lon", f"{_FLEET['kn']} AS max_speed_kn"
     )
-    found = detectors.dark_events(e.tracked(history=False), _zones(spark), patrol_rows(boats), e.settings)
-    met = found.select("mmsi", "ts_ms", F.explode("intercepts").alias("i")).groupBy("mmsi", "ts_ms")
-    return met.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("i.feasible")).alias("n_feasible"), F.min("i.eta_s").alias("soonest_s"))
+    silent = detectors.near_silences(e.tracked(history=False), _zones(spark), e.settings)
+    met = detectors.intercept_rows(silent, patrol_rows(boats), ("mmsi", "ts_ms")).groupBy("mmsi", "ts_ms")
+    return met.agg(F.count(F.lit(1)).alias("n"), F.count_if("feasible").alias("n_feasible"), F.min("eta_s").alias("soonest_s"))
 
 
 # --- risk -----------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pelagia import queries
@@ -277,6 +278,21 @@ def test_one_exchange_of_the_fixes(spark, sf):
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_a_fleet_by_rows_is_the_arrays(spark, sf):
+    """Rows per silence and patrol have the arrays' numbers; the fleet's work is compiled, no lambda runs per patrol."""
+    random.seed(4)
+    silent = [(k, k, k, 55 + random.random(), 11 + random.random(), random.choice([0.0, 8.0, random.random() * 30]), random.choice([0.0, 90.0, random.random() * 360, None]), 7200.0) for k in range(60)]
+    silent = spark.createDataFrame(silent, "mmsi LONG, ts_ms LONG, seq LONG, lat DOUBLE, lon DOUBLE, speed_kn DOUBLE, heading_deg DOUBLE, silence_s DOUBLE")
+    boats = [Row(patrol_idx=k, patrol_id=f"B{k}", lat=55 + random.random(), lon=11 + random.random(), max_speed_kn=random.choice([0.0, 8.0, random.random() * 40])) for k in range(50)]
+    lat, lon = detectors.predicted(F.col("speed_kn"), F.col("silence_s"), F.col("lat"), F.col("lon"), F.col("heading_deg"))
+    arrays = silent.select("mmsi", "ts_ms", "seq", F.explode(detectors.patrol_intercepts(boats, lat, lon, F.col("speed_kn"), F.col("heading_deg"))).alias("i")).select("mmsi", "ts_ms", "seq", "i.*")
+    got, want = detectors.intercept_rows(silent, boats).collect(), arrays.collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and 0 < sum(r.feasible for r in got) < len(got) == 3000
+    assert detectors.intercept_rows(silent, []).count() == 0
+    plan = queries.dark_intercepts_fleet(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and "lambda" not in plan.split("Generate explode")[0]
+
+
 def test_empty_fixes(spark):
     e = Engine(spark.createDataFrame([], S.FIX), demo.zones(spark), demo.patrols(spark))
     assert e.alerts().collect() == [] and metrics.latest(e.fixes).collect() == []
