@@ -71,6 +71,67 @@ def test_histograms_never_rule_out_too_much():
     assert jaccard.apart(jaccard.histogram(other), jaccard.histogram(other ^ 0x5555555555)) > 0.23 * 20_000  # nothing in common: ruled out
 
 
+def test_parities_tell_what_is_just_too_far():
+    """Sets at 0.7 are ruled out at any size, by FEW parities too where they are small; counts of 64 bins let all of these pass."""
+    rng = np.random.default_rng(9)
+    for n in (150, 1000, 20_000):
+        for _ in range(20):
+            whole = np.unique(rng.integers(-(1 << 62), 1 << 62, n + n * 3 // 17))
+            a, b = np.unique(whole[:n]), np.unique(whole[-n:])  # 14 of 20 parts shared
+            assert 0.69 < len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < 0.71
+            assert 9 * jaccard.apart(jaccard.histogram(a), jaccard.histogram(b)) > 2 * n
+            if n == 150:
+                assert 9 * jaccard.apart(jaccard.parities(a, jaccard.FEW), jaccard.parities(b, jaccard.FEW)) > 2 * n
+
+
+def group_of_copies(n=60, edits=28):
+    """Copies of one text, each with so many words of its own: each to the text and each other less than 0.8."""
+    rng, words = random.Random(6), [f"w{k}" for k in range(400)]
+    out = {}
+    for i in range(n):
+        own = list(words)
+        for k in rng.sample(range(0, 400, 5), edits // 2):
+            own[k] = f"own{i}x{k}"
+        out[i] = " ".join(own)
+    return out
+
+
+def test_pairs_of_a_group_leave_the_join_once_if_at_all(spark, monkeypatch):
+    texts = group_of_copies()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id LONG, text STRING")
+    counts, real = [], jaccard._meetings
+
+    def counted(left, t):
+        met = real(left, t)
+        counts.append((met.count(), met.distinct().count(), left.alias("x").join(left.alias("y"), "key").where("x.node < y.node").count()))
+        return met
+
+    monkeypatch.setattr(jaccard, "_meetings", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()}
+    assert got == plain_classes(texts)
+    ((rows, pairs, every),) = counts
+    assert every > 10_000 and rows < 1770 // 4  # of all 1,770 pairs
+
+
+def test_where_two_sets_first_meet_is_never_left_out(spark):
+    """Rows of sets that meet at several shingles, alone or in runs: every pair is there, and once a run."""
+    rng = random.Random(2)
+    rows, meet = [], {}
+    kept = {n: sorted(rng.sample(range(40), rng.randint(1, 12))) for n in range(30)}
+    for n, keys in kept.items():
+        rows += [(k, n, 100, i, n, keys[i - 1] if i else None, [0] * (jaccard.FEW // 64)) for i, k in enumerate(keys)]
+    for a in kept:
+        for b in kept:
+            if a < b and (both := set(kept[a]) & set(kept[b])):
+                before = {n: dict(zip(kept[n][1:], kept[n], strict=False)) for n in (a, b)}
+                meet[a, b] = sum(1 for k in both if before[a].get(k) is None or before[a].get(k) != before[b].get(k))
+    left = spark.createDataFrame(rows, "key LONG, node LONG, n INT, place INT, label LONG, prev LONG, few ARRAY<LONG>")
+    got = {}
+    for r in jaccard._meetings(left, jaccard.Fraction(4, 5)).collect():
+        got[r.a, r.b] = got.get((r.a, r.b), 0) + 1
+    assert got == meet and len(got) > 200
+
+
 def test_sketch_is_the_fingerprint_of_texts_without_repeats():
     text = " ".join(f"w{k}" for k in range(90))
     assert jaccard.sketch(jaccard.shingles(text)) == simhash.signed(simhash.fingerprint(text, 5)) and jaccard.sketch(jaccard.shingles("")) == 0
